@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.compaction import consolidate_spool
 from ..operators.deliveries import first_deliveries, message_identity, repeated_deliveries
+from ..functions.text import log_text
+from ..operators.history import ATTRIBUTES, parse_updates, versions
 from ..operators.tree_aggregate import tree_aggregate
 from ..schema import KEY, id_key
-from ..session import materialise, table
+from ..session import fresh_path, materialise, table
 
 #: A key is hot from this share of all messages on.
 HOT_SHARE = 0.01
@@ -45,9 +48,47 @@ def p2_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consolidate_spool(
+        table(spark, sf_dir, "source_records"), table(spark, sf_dir, "source_files"), fresh_path(spark, "spool")
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consolidated(spark, sf_dir).where("small").select("table_name", "file_no").distinct()
+
+
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records in the consolidated files, without the bytes of their logs."""
+    return consolidated(spark, sf_dir).select("table_name", "file_no", "pos", F.octet_length("log_bytes").alias("n_bytes"))
+
+
+def entity_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with the same key, ts and data count once, at their smallest record_seq; notes that say nothing go."""
+    rows = table(spark, sf_dir, "entity_records")
+    once = rows.groupBy(*KEY, F.col("ts").alias("at"), "data").agg(F.min("record_seq").alias("seq"))
+    told = parse_updates(once.select("table_name", id_key().alias("id_key"), "at", "seq", "data"), log_text(F.col("data")))
+    return versions(told.where("op IS NOT NULL"), ["table_name", "id_key"], ATTRIBUTES).where("kind <> 'deleted'")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = entity_versions(spark, sf_dir)
+    return found.select("table_name", "id_key", "valid_from", F.coalesce("valid_to", F.lit(-1)).cast("bigint").alias("valid_to"))
+
+
+def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p4_found with the attributes of each version, and whether it began from nothing."""
+    found = entity_versions(spark, sf_dir)
+    return found.select("table_name", "id_key", "kind", *ATTRIBUTES, "valid_from", F.coalesce("valid_to", F.lit(-1)).cast("bigint").alias("valid_to"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_key_stats": p1_key_stats,
     "p2_found": p2_found,
     "p2_first_deliveries": p2_first_deliveries,
+    "p3_found": p3_found,
+    "p3_records": p3_records,
+    "p4_found": p4_found,
+    "p4_versions": p4_versions,
 }
