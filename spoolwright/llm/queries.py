@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from .batch_dedup import AcceptedIndex, check_batch
+from .leakage import leaks
+from .packing import CAPACITY, pack_documents
+from .splitting import split_documents
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +17,46 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_batch(index, table(spark, sf_dir, "new_records"))
 
 
-QUERIES = {"p5_found": p5_found}
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are: one row."""
+    packed = p6_packed(spark, sf_dir)
+    return packed.agg(
+        F.count_distinct("container").alias("containers"),
+        F.sum("n_tokens").alias("tokens"),
+        (F.sum("n_tokens") / (F.count_distinct("container") * CAPACITY)).alias("fill"),
+    )
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tile of 13 words, or of all words of a shorter item."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id")
+
+
+def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of which tiles of five words and more, in any order, cover at least 0.8."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), min_tile=5, seed_words=5, min_coverage=0.8)
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_pieces(spark, sf_dir).where("piece = 0").select("doc_id")
+
+
+QUERIES = {
+    "p5_found": p5_found,
+    "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_coverage": p7_coverage,
+    "p8_found": p8_found,
+    "p8_pieces": p8_pieces,
+}
 
 SQL: dict[str, str] = {}
