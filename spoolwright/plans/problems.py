@@ -64,11 +64,12 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with the same key, ts and data count once, at their smallest record_seq; notes that say nothing go."""
+    """Rows with the same key, ts and data count once, at their smallest record_seq. Notes that say nothing stay, as they
+    change nothing; a filter on what is parsed would be pushed below the aggregation and parse every row twice."""
     rows = table(spark, sf_dir, "entity_records")
     once = rows.groupBy(*KEY, F.col("ts").alias("at"), "data").agg(F.min("record_seq").alias("seq"))
     told = parse_updates(once.select("table_name", id_key().alias("id_key"), "at", "seq", "data"), log_text(F.col("data")))
-    return versions(told.where("op IS NOT NULL"), ["table_name", "id_key"], ATTRIBUTES).where("kind <> 'deleted'")
+    return versions(told, ["table_name", "id_key"], ATTRIBUTES).where("kind <> 'deleted'")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
