@@ -11,7 +11,7 @@ DAY_MS = 86_400_000
 
 def msk_day(ms: Column) -> Column:
     """Number of the day in Moscow; truncates towards zero."""
-    return F.try_divide(ms + MOSCOW_MS, F.lit(DAY_MS)).cast("bigint")
+    return F.call_function("div", ms + MOSCOW_MS, F.lit(DAY_MS))
 
 
 def msk_day_double(ms: Column) -> Column:

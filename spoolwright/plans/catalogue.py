@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import problems, problems_sql
+from . import log_queries, problems, problems_sql
 
 
 def queries() -> dict:
-    return {**problems.QUERIES}
+    return {**log_queries.QUERIES, **problems.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**problems_sql.SQL}
+    return {**log_queries.SQL, **problems_sql.SQL}

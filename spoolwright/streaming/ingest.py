@@ -14,10 +14,10 @@ from ..session import fresh_path
 
 log = logging.getLogger(__name__)
 #: Bytes of files in a batch, about; files stay whole.
-BATCH_BYTES = "256m"
+BATCH_BYTES = 256 << 20
 
 
-def update(store: LogStore, path: str, checkpoint: str | None = None, delete: bool = True, batch_bytes: str = BATCH_BYTES, trigger: dict | None = None) -> dict[str, int]:
+def update(store: LogStore, path: str, checkpoint: str | None = None, delete: bool = True, batch_bytes: int = BATCH_BYTES, trigger: dict | None = None) -> dict[str, int]:
     """Reads all spool files below ``path`` that weren't read yet, adds their records, and with ``delete`` removes each
     batch's files once its records are stored. Ends when nothing is left, or runs on with another ``trigger``.
 
