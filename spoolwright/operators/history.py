@@ -153,7 +153,7 @@ def parse_updates(df: DataFrame, text: Column, attributes: Sequence[str] = ATTRI
         )
         out += [
             F.when(F.col("op") != "drop", tidy(value)).alias(a),
-            F.coalesce((F.col("op") != "patch") | given, F.lit(False)).alias(f"set_{a}"),
+            F.coalesce(F.col("op").isNotNull() & ((F.col("op") != "patch") | given), F.lit(False)).alias(f"set_{a}"),
         ]
     keep = [c for c in df.columns if not c.startswith("__") and c not in attributes and not c.startswith("set_")]
     return df.select(*keep, *out)
