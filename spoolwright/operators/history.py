@@ -114,46 +114,50 @@ def versions(updates: DataFrame, key: Sequence[str], attributes: Sequence[str],
 
 #: Attributes that the log tells of an entity.
 ATTRIBUTES = ["tier", "state", "zone", "quota", "owner"]
-_BLANK = r"^[\s\x{0}-\x{20}]+|[\s\x{0}-\x{20}]+$"
+#: What is trimmed: characters up to U+0020 and the Unicode blanks.
+BLANKS = "".join(map(chr, [*range(0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def tidy(c: Column) -> Column:
     """A value as it is compared: trimmed, in lower case; empty is null."""
-    return F.nullif(F.lower(F.regexp_replace(c, _BLANK, "")), F.lit(""))
+    return F.nullif(F.lower(F.btrim(c, F.lit(BLANKS))), F.lit(""))
 
 
 def parse_updates(df: DataFrame, text: Column, attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
     """``df`` with ``op`` (full, patch, drop, or null for text that says nothing) and for each attribute its value and
     ``set_`` flag. Three notations: a JSON object with ``op``; ``op; a=v; b=v``; the operation on the first line,
     then lines ``a: v``. The last of repeated attributes counts."""
-    body = F.regexp_replace(text, _BLANK, "")
     ops = "full|patch|drop"
-    df = df.withColumn("__t", body)
-    t = F.col("__t")
-    schema = "op string, " + ", ".join(f"{a} string" for a in attributes) + ", __bad string"
-    df = df.withColumn("__j", F.when(t.startswith("{"), F.from_json(t, schema, {"columnNameOfCorruptRecord": "__bad"})))
-    df = df.withColumn("__j", F.when(F.col("__j.__bad").isNull(), F.col("__j")))
-    df = df.withColumn("__keys", F.when(F.col("__j").isNotNull(), F.json_object_keys(t)))
-    line = t.rlike(rf"(?i)^({ops})[ \t]*(;[^\r\n]*)?$")
-    block = t.rlike(rf"^({ops.upper()})[ \t]*\r?\n")
-    op = F.when(F.col("__j").isNotNull(), tidy(F.col("__j.op"))).when(line | block, F.lower(F.regexp_extract(t, rf"(?i)^({ops})", 1)))
-    df = df.withColumn("op", F.when(op.isin(*ops.split("|")), op)).withColumn("__line", line).withColumn("__block", block)
-    out = []
-    for a in attributes:
-        at_line, at_block = rf"(?s).*;\s*{a}\s*=([^;]*)", rf"(?s).*\n[ \t]*{a}[ \t]*:([^\r\n]*)"
-        value = (
-            F.when(F.col("__j").isNotNull(), F.col(f"__j.{a}"))
-            .when(F.col("__line"), F.regexp_extract(t, at_line, 1))
-            .when(F.col("__block"), F.regexp_extract(t, at_block, 1))
-        )
-        given = (
-            F.when(F.col("__j").isNotNull(), F.array_contains("__keys", a))
-            .when(F.col("__line"), t.rlike(at_line))
-            .when(F.col("__block"), t.rlike(at_block))
+    t, said = F.col("__t"), F.col("__said")
+
+    def entries(parts: Column, sign: str) -> Column:
+        """Key and value of the parts behind the first that have the sign."""
+        rest = F.filter(parts, lambda p, i: (i > 0) & F.contains(p, F.lit(sign)))
+        return F.transform(
+            rest,
+            lambda p: F.struct(F.btrim(F.substring_index(p, sign, 1), F.lit(BLANKS)).alias("key"), F.substring(p, F.instr(p, F.lit(sign)) + 1, F.length(p)).alias("value")),
         )
-        out += [
-            F.when(F.col("op") != "drop", tidy(value)).alias(a),
-            F.coalesce(F.col("op").isNotNull() & ((F.col("op") != "patch") | given), F.lit(False)).alias(f"set_{a}"),
+
+    def last(name: str) -> Column:
+        return F.try_element_at(F.filter(said, lambda e: e["key"] == name), F.lit(-1))
+
+    # all notations become an operation and entries of key and value; each step is a projection of its own, so that
+    # nothing is computed twice
+    out = df.withColumn("__t", F.btrim(text, F.lit(BLANKS)))
+    out = out.withColumn(
+        "__said",
+        F.when(t.startswith("{"), F.map_entries(F.from_json(t, "map<string, string>")))
+        .when(t.rlike(rf"^(?i:{ops})[ \t]*(;[^\r\n]*)?$"), entries(F.split(t, ";"), "="))
+        .when(t.rlike(rf"^({ops.upper()})[ \t]*\r?\n"), entries(F.split(t, "\r?\n"), ":")),
+    )
+    op = F.when(t.startswith("{"), last("op")["value"]).otherwise(F.regexp_extract(t, "^[A-Za-z]+", 0))
+    op = F.when(said.isNotNull(), tidy(op))
+    out = out.withColumns({"op": F.when(op.isin(*ops.split("|")), op), **{f"__{a}": last(a) for a in attributes}})
+    keep = [c for c in df.columns if c != "op" and c not in attributes and not c.startswith("set_")]
+    columns = []
+    for a in attributes:
+        columns += [
+            F.when(F.col("op") != "drop", tidy(F.col(f"__{a}.value"))).alias(a),
+            F.coalesce(F.col("op").isNotNull() & ((F.col("op") != "patch") | F.col(f"__{a}").isNotNull()), F.lit(False)).alias(f"set_{a}"),
         ]
-    keep = [c for c in df.columns if not c.startswith("__") and c not in attributes and not c.startswith("set_")]
-    return df.select(*keep, *out)
+    return out.select(*keep, "op", *columns)
