@@ -19,6 +19,7 @@ rarest words of the new message are taken, by their frequency in the bucket.
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -34,7 +35,7 @@ from .words import record_text, word_set
 
 SIMILARITY = Fraction(7, 10)
 #: Rows of one key that a bucket takes; more are spread.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 50_000
 #: Rows in a bucket, about.
 BUCKET_ROWS = 50_000
 #: Shared parts that make a candidate, where so many must be shared.
@@ -98,14 +99,14 @@ def asked(rows: DataFrame, salts: DataFrame, n_buckets: int) -> DataFrame:
 
 def _coded(keys: list[bytes], texts: list[str], kid: dict[bytes, int], wid: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """One code for each (key, word) of all rows, and the number of words of each row."""
-    codes: list[int] = []
+    codes = array("q")
     lens = np.empty(len(texts), np.int64)
     for i, (k, t) in enumerate(zip(keys, texts)):
         base = kid.setdefault(k, len(kid)) << 32
         ws = t.split(" ")
         lens[i] = len(ws)
-        codes += [base | wid.setdefault(w, len(wid)) for w in ws]
-    return np.array(codes, np.int64), lens
+        codes.extend([base | wid.setdefault(w, len(wid)) for w in ws])
+    return np.frombuffer(codes, np.int64), lens
 
 
 def similar_pairs(
