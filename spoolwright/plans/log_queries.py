@@ -103,6 +103,31 @@ def parse_ids(spark, sf_dir):
     return s.select("typed", F.when(kind == 1, F.concat(F.lit("i:"), number.cast("string"))).otherwise(F.concat(F.lit("s:"), text)).alias("id_key"))
 
 
+@query("""SELECT r.record_seq FROM records r WHERE (segment, byte_offset) IN (SELECT (segment, byte_offset) FROM headers WHERE segment IS NOT NULL AND byte_offset IS NOT NULL
+AND (hash IS NULL OR hash % 100 = 0))""")
+def read_offsets(spark, sf_dir):
+    """From index entries to their records: those of every hundredth hash, and those without a hash."""
+    h = table(spark, sf_dir, "headers").where(F.col("hash").isNull() | (F.col("hash") % 100 == 0))
+    return table(spark, sf_dir, "records").join(h.select("segment", "byte_offset").distinct(), ["segment", "byte_offset"], "left_semi").select("record_seq")
+
+
+@query("""SELECT record_seq FROM records WHERE (segment, byte_offset) NOT IN (SELECT (segment, byte_offset) FROM headers WHERE segment IS NOT NULL AND byte_offset IS NOT NULL)""")
+def missing_headers(spark, sf_dir):
+    """Records that the index lacks, to be entered again."""
+    h = table(spark, sf_dir, "headers").select("segment", "byte_offset").distinct()
+    return table(spark, sf_dir, "records").join(h, ["segment", "byte_offset"], "left_anti").select("record_seq")
+
+
+@query(f"""SELECT record_seq, 64 + coalesce(sum(size) OVER (PARTITION BY segment ORDER BY byte_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM
+(SELECT record_seq, segment, byte_offset, 8 + (1 + strlen(table_name)) + CASE id_kind WHEN 1 THEN 5 WHEN 2 THEN 2 + strlen(id_str) ELSE 1 END
++ CASE WHEN octet_length(data) < 128 THEN 1 ELSE 2 END + octet_length(data) AS size FROM records)""")
+def rebuilt_offsets(spark, sf_dir):
+    """Offsets in segment files, rebuilt from the records with identifiers of all kinds."""
+    r = adapters.records(spark, sf_dir)
+    rows = r.select("table_name", "id_kind", "id_str", "data", "segment", F.col("seq").alias("record_seq"), F.col("byte_offset").alias("seq"))
+    return seg.with_offsets(rows).select("record_seq", F.col("byte_offset").alias("at"))
+
+
 # ---- deduplication
 
 

@@ -13,8 +13,8 @@ from ..operators.tree_aggregate import tree_aggregate
 from ..schema import KEY, id_key
 from ..session import fresh_path, materialise, table
 
-#: A key is hot from this share of all messages on.
-HOT_SHARE = 0.01
+#: A key is hot if its messages times this are all messages or more: 1 %.
+HOT_PARTS = 100
 
 
 def key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = materialise(key_stats(spark, sf_dir).select("table_name", id_key().alias("id_key"), "messages"), "key-stats")
     total = stats.agg(F.sum("messages")).first()[0] or 0  # one number
-    return stats.where(F.col("messages") >= F.lit(total) * HOT_SHARE).select("table_name", "id_key")
+    return stats.where(F.col("messages") * HOT_PARTS >= F.lit(total)).select("table_name", "id_key")
 
 
 def p1_key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

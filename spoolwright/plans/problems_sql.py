@@ -28,7 +28,7 @@ WITH valid AS (SELECT * FROM source_records WHERE table_name <> '' AND table_nam
 SQL = {
     "p1_found": FIRST
     + f"""SELECT table_name, {ID_KEY} AS id_key FROM ranked WHERE nth = 1 GROUP BY table_name, id_kind, id_int, id_str
-HAVING count(*) >= 0.01 * (SELECT count(*) FROM ranked WHERE nth = 1)""",
+HAVING count(*) * 100 >= (SELECT count(*) FROM ranked WHERE nth = 1)""",
     "p1_key_stats": FIRST
     + f"""SELECT table_name, {ID_KEY} AS id_key, count(*) AS messages, min(ts) AS first_ts, max(ts) AS last_ts
 FROM ranked WHERE nth = 1 GROUP BY table_name, id_kind, id_int, id_str""",

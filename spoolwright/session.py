@@ -32,10 +32,9 @@ def session(app: str = "spoolwright", master: str | None = None, **conf: object)
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session; a temporary one is set only where
     that is unset, which is right for a single machine alone."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.spoolwright.sharedDir", "")
+    at = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.spoolwright.sharedDir", "")
     if not at:
-        if not sc.master.startswith("local"):
+        if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spoolwright-")
         spark.conf.set("spark.spoolwright.sharedDir", at)
@@ -79,3 +78,9 @@ def conf(spark: SparkSession, **values: object):
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table. Timestamps without zone are read as they are."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Removes everything this package wrote to the shared folder: results of queries that read from there are lost."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/spoolwright")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
