@@ -25,7 +25,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digest
@@ -37,7 +37,7 @@ SIMILARITY = Fraction(7, 10)
 #: Rows of one key that a bucket takes; more are spread.
 BLOCK_ROWS = 50_000
 #: Rows in a bucket, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 25_000
 #: Shared parts that make a candidate, where so many must be shared.
 SEEDS = 3
 #: Postings looked at in one go.
@@ -73,28 +73,35 @@ def contents(df: DataFrame, seq: str = "record_seq", collapse: bool = False) ->
     return rows.mapInArrow(run, "k binary, seq bigint, content string")
 
 
-def key_salts(df: DataFrame, block_rows: int) -> DataFrame:
-    """``k`` and ``salts`` of the keys with more than ``block_rows`` rows."""
-    n = df.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block_rows)
-    return n.select(digest(*[F.col(c) for c in KEY]).alias("k"), F.ceil(F.col("__n") / block_rows).cast("int").alias("salts"))
+class Layout:
+    """Where messages of a key lie. A key with more than ``block_rows`` has blocks of its own, ``salts`` of them from
+    bucket ``first`` on, over which its messages are spread by content; all other keys share the buckets behind."""
 
+    def __init__(self, sizes: DataFrame, block_rows: int, bucket_rows: int, rows: int):
+        """``sizes`` has ``k`` and ``n``, a row for each key; ``rows`` is their sum, or about that."""
+        spark = sizes.sparkSession
+        hot = sizes.where(F.col("n") > block_rows).select("k", F.ceil(F.col("n") / block_rows).cast("int").alias("salts"))
+        before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # over hot keys alone, a few
+        self.hot = materialise(hot.withColumn("first", F.coalesce(F.sum("salts").over(before), F.lit(0)).cast("int")), "hot-keys")
+        self.n_hot = self.hot.agg(F.sum("salts")).first()[0] or 0
+        self.n_cold = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // bucket_rows))
+        self.n_buckets = self.n_hot + self.n_cold
 
-def _in_bucket(salt, n_buckets: int):
-    return F.pmod(F.xxhash64("k", salt), F.lit(n_buckets)).cast("int").alias("bucket")
+    def _with_hot(self, rows: DataFrame) -> tuple[DataFrame, Column]:
+        cold = (F.pmod(F.xxhash64("k"), F.lit(self.n_cold)) + self.n_hot).cast("int")
+        return rows.join(broadcast_if_small(self.hot), "k", "left"), cold
 
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Each message with its one bucket."""
+        out, cold = self._with_hot(rows)
+        own = (F.col("first") + F.pmod(F.xxhash64("content"), F.col("salts"))).cast("int")
+        return out.select(F.coalesce(own, cold).alias("bucket"), *rows.columns)
 
-def placed(rows: DataFrame, salts: DataFrame, n_buckets: int) -> DataFrame:
-    """Index rows with their bucket: by key, and for spread keys by content as well."""
-    rows = rows.join(broadcast_if_small(salts), "k", "left")
-    salt = F.pmod(F.xxhash64("content"), F.coalesce("salts", F.lit(1))).cast("int")
-    return rows.withColumn("salt", salt).select(_in_bucket(F.col("salt"), n_buckets), *[c for c in rows.columns if c != "salts"])
-
-
-def asked(rows: DataFrame, salts: DataFrame, n_buckets: int) -> DataFrame:
-    """New rows with each bucket that may hold something of their key."""
-    rows = rows.join(broadcast_if_small(salts), "k", "left")
-    every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-    return rows.withColumn("salt", every).select(_in_bucket(F.col("salt"), n_buckets), *[c for c in rows.columns if c != "salts"])
+    def asked(self, rows: DataFrame) -> DataFrame:
+        """Each message with every bucket that may hold something of its key."""
+        out, cold = self._with_hot(rows)
+        own = F.sequence(F.col("first"), F.col("first") + F.col("salts") - 1)
+        return out.select(F.explode(F.coalesce(own, F.array(cold))).alias("bucket"), *rows.columns)
 
 
 def _coded(keys: list[bytes], texts: list[str], kid: dict[bytes, int], wid: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,29 +207,28 @@ def _earlier_pairs(index: pa.Table, batch: pa.Table) -> pa.Table:
 
 
 class AcceptedIndex:
-    """The accepted messages, as tables in the shared folder: ``contents`` bucketed by message key, and ``salts``.
+    """The accepted messages, as a table in the shared folder, bucketed by message key.
 
     A key that grows hot after the index was built stays in its one bucket; build anew from time to time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, n_buckets: int, salts: DataFrame):
-        self.spark, self.path, self.n_buckets, self.salts = spark, path, n_buckets, salts
+    def __init__(self, spark: SparkSession, path: str, layout: Layout):
+        self.spark, self.path, self.layout = spark, path, layout
         self.name = f"accepted_{uuid.uuid4().hex}"
 
     @classmethod
     def build(cls, history: DataFrame, path: str | None = None, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS) -> AcceptedIndex:
         spark = history.sparkSession
-        path = path or fresh_path(spark, "accepted")
-        salts = materialise(key_salts(history, block_rows), "salts")
-        n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-history.count() // bucket_rows))
-        index = cls(spark, path, n_buckets, salts)
+        sizes = history.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n")).select(digest(*[F.col(c) for c in KEY]).alias("k"), F.col("__n").alias("n"))
+        index = cls(spark, path or fresh_path(spark, "accepted"), Layout(sizes, block_rows, bucket_rows, history.count()))
         index.append(contents(history, collapse=True))
         return index
 
     def append(self, rows: DataFrame) -> None:
         """Adds messages (``k, seq, content``) to the buckets of their keys."""
-        out = placed(rows, self.salts, self.n_buckets).repartition(self.n_buckets, "bucket")
-        out.write.mode("append").format("parquet").bucketBy(self.n_buckets, "bucket").option("path", self.path).saveAsTable(self.name)
+        n = self.layout.n_buckets
+        out = self.layout.placed(rows).repartition(n, "bucket")
+        out.write.mode("append").format("parquet").bucketBy(n, "bucket").option("path", self.path).saveAsTable(self.name)
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -251,7 +257,7 @@ def _decide(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return accepted
 
 
-def check_batch(index: AcceptedIndex, batch: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def check_batch(index: AcceptedIndex, batch: DataFrame, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Holds ``batch`` (records with ``record_seq``) against the index and against itself, in order of record_seq;
     appends what is accepted to the index. Gives one row for each rejected message: ``accepted_seq``, the least of the
     accepted messages that it repeats, and ``new_seq``.
@@ -261,24 +267,19 @@ def check_batch(index: AcceptedIndex, batch: DataFrame, block_rows: int = BLOCK_
     message that is in the batch several times all but the first are repeats; an empty batch or history gives no
     matches; extra columns are not read.
     """
-    spark = batch.sparkSession
     rows = materialise(contents(batch), "batch")
     classes = materialise(rows.groupBy("k", "content").agg(F.min("seq").alias("seq")), "classes")
 
     # against the history: bucket by bucket, the index where it lies
-    new = asked(classes, index.salts, index.n_buckets).repartition(index.n_buckets, "bucket")
+    new = index.layout.asked(classes).repartition(index.layout.n_buckets, "bucket")
     hits = index.table().groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(_oldest_match, "new_seq bigint, old_seq bigint")
     matched = materialise(hits.groupBy("new_seq").agg(F.min("old_seq").alias("best")), "matched")
 
     # against what is new itself; what repeats the history is no case to compare with
     all_new = classes.join(matched.withColumnRenamed("new_seq", "seq"), "seq", "left")
     fresh = materialise(all_new.where("best IS NULL").select("k", "seq", "content"), "fresh")
-    n = index.n_buckets
-    salts = materialise(
-        fresh.groupBy("k").count().where(F.col("count") > block_rows).select("k", F.ceil(F.col("count") / block_rows).cast("int").alias("salts")), "salts"
-    )
-    old = placed(fresh, salts, n)
-    new = asked(all_new.withColumn("best", F.coalesce("best", F.lit(2**63 - 1))), salts, n)
+    layout = Layout(fresh.groupBy("k").agg(F.count(F.lit(1)).alias("n")), block_rows, bucket_rows, fresh.count())
+    old, new = layout.placed(fresh), layout.asked(all_new.withColumn("best", F.coalesce("best", F.lit(2**63 - 1))))
     pairs = old.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(_earlier_pairs, "new_seq bigint, old_seq bigint")
     pairs = materialise(pairs, "pairs")
     open_pairs = pairs.join(fresh.select(F.col("seq").alias("new_seq")), "new_seq", "left_semi")

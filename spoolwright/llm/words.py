@@ -21,7 +21,7 @@ def record_text(data: bytes | None) -> str:
 
 
 def word_set(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+    return {w.lower() for w in WORD.findall(text)}
 
 
 def _format_characters() -> dict[int, None]:

@@ -17,7 +17,7 @@ def frame(spark, rows):
 
 def run(spark, history, batch, block_rows=bd.BLOCK_ROWS, bucket_rows=bd.BUCKET_ROWS):
     index = bd.AcceptedIndex.build(frame(spark, history), block_rows=block_rows, bucket_rows=bucket_rows)
-    got = {(r.accepted_seq, r.new_seq) for r in bd.check_batch(index, frame(spark, batch), block_rows).collect()}
+    got = {(r.accepted_seq, r.new_seq) for r in bd.check_batch(index, frame(spark, batch), block_rows, bucket_rows).collect()}
     named = ("record_seq", "table_name", "id_kind", "id_int", "id_str", "data")
     want = brute.repeats([dict(zip(named, r)) for r in history], [dict(zip(named, r)) for r in batch if r[0] is not None])
     return got, want, index
