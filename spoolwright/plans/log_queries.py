@@ -25,8 +25,8 @@ SQL: dict[str, str] = {}
 
 #: Records in a segment of the queries.
 N = 2000
-EVENTS = """(SELECT event_id AS seq, event_type AS table_name, user_id AS id_int, 'i:' || user_id AS id_key,
-epoch_us(ts) // 1000 AS timestamp, props AS data, (event_id - (SELECT min(event_id) FROM events)) // 2000 + 1 AS segment FROM events)"""
+EVENTS = """(SELECT event_id AS seq, event_type AS table_name, user_id::INT AS id_int, 'i:' || user_id AS id_key,
+epoch_us(ts) // 1000 AS timestamp, props AS data, ((event_id - (SELECT min(event_id) FROM events)) // 2000 + 1)::INT AS segment FROM events)"""
 #: Every tenth event is delivered again.
 REPLAY = f"(SELECT * FROM {EVENTS} UNION ALL SELECT * FROM {EVENTS} WHERE seq % 10 = 0)"
 ID_KEY = "CASE id_kind WHEN 1 THEN 'i:' || id_int WHEN 2 THEN 's:' || id_str ELSE '' END"
@@ -200,7 +200,7 @@ def _size(table: str = "table_name", data: str = "data") -> str:
     return f"(8 + {u.format(t)} + {t} + 5 + {u.format(d)} + {d})"
 
 
-@query(f"""SELECT seq, segment, {_size()} AS size, (64 + coalesce(sum({_size()}) OVER (PARTITION BY segment ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS byte_offset
+@query(f"""SELECT seq, segment, {_size()}::INT AS size, (64 + coalesce(sum({_size()}) OVER (PARTITION BY segment ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS byte_offset
 FROM {EVENTS}""")
 def record_offsets(spark, sf_dir):
     return seg.with_offsets(segmented(spark, sf_dir)).select("seq", "segment", "size", "byte_offset")
@@ -369,7 +369,7 @@ def string_functions(spark, sf_dir):
 from .problems_sql import TEXT  # noqa: E402
 
 
-@query(f"SELECT record_seq, md5({TEXT}) AS text_md5, length({TEXT}) AS n_chars FROM records")
+@query(f"SELECT record_seq, md5({TEXT}) AS text_md5, length({TEXT})::INT AS n_chars FROM records")
 def decoded_text(spark, sf_dir):
     """Text of records in two encodings."""
     t = log_text(F.col("data"))
