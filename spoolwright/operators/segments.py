@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ints import record_size
 from ..functions.strings import zero_pad
+from ..session import materialise
 from .numbering import numbered
 
 MAX_RECORDS = 2_000_000
@@ -67,32 +68,33 @@ def roll_segments(
     used_records: int = 0,
     used_bytes: int = HEAD_BYTES,
 ) -> DataFrame:
-    """``log`` with ``n`` (number in order, from 0) and ``segment``: a segment is left when it holds ``max_records`` or
+    """``log`` with ``n`` (number in order, from 0), ``size`` (bytes) and ``segment``: a segment is left when it holds ``max_records`` or
     when the next record would pass ``max_bytes``. The first segment may be partly used.
 
-    A cut depends on the one before, so there is a small query for each segment that is filled: as many as the batch
-    has bytes over ``max_bytes`` or records over ``max_records``. Everything else is done at once. A record of more
+    Where records alone fill segments, a segment follows from a record's number. Where bytes do, a cut depends on the
+    one before: there is a small query, over numbers and sizes alone, for each segment that is filled. A record of more
     bytes than a segment takes has one of its own.
     """
     size = record_size(F.col("table_name"), F.col("id_kind"), F.col("id_str"), F.col("data"))
-    rows = numbered(log.withColumn("__size", size), order, "n", {"__end": "__size"})
-    total = rows.agg(F.count(F.lit(1)), F.max("__end")).first()
+    rows = numbered(log.withColumn("size", size), order, "n")
+    total, all_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if used_bytes + all_bytes <= max_bytes or total == 0:
+        n = F.col("n") + used_records
+        if used_records >= max_records:  # the first one is full
+            n, first_segment = F.col("n"), first_segment + 1
+        return rows.withColumn("segment", (F.floor(n / max_records) + first_segment).cast("int"))
+    light = materialise(numbered(rows.select(F.col("n").alias("k"), "size"), ["k"], "n", {"end": "size"}).select("n", "size", "end"), "sizes")
     cuts = [(0, first_segment)]  # number of the first record, segment
     n0, base, room_n, room_b = 0, 0, max_records - used_records, max_bytes - used_bytes
-    light = rows.select("n", "__size", "__end")
-    while total[0] - n0 > room_n or (total[1] or 0) - base > room_b:
-        over = light.where((F.col("n") >= n0 + room_n) | ((F.col("n") >= n0) & (F.col("__end") - base > room_b)))
-        first = over.orderBy("n").select("n", (F.col("__end") - F.col("__size")).alias("b")).first()
-        if first is None:
-            break
-        n, b = first
+    while total - n0 > room_n or all_bytes - base > room_b:
+        over = light.where((F.col("n") >= n0 + room_n) | ((F.col("n") >= n0) & (F.col("end") - base > room_b)))
+        n, b, e = over.agg(F.min(F.struct("n", (F.col("end") - F.col("size")).alias("b"), "end"))).first()[0]
         if n == n0 and room_n == max_records and room_b == max_bytes - HEAD_BYTES:  # larger than a segment
-            nxt = light.where(F.col("n") == n0).select("__end").first()
-            n, b = n0 + 1, nxt[0]
-            if n >= total[0]:
+            n, b = n0 + 1, e
+            if n >= total:
                 break
         n0, base, room_n, room_b = n, b, max_records, max_bytes - HEAD_BYTES
         cuts.append((n0, cuts[-1][1] + 1))
     starts = F.array(*[F.lit(a).cast("bigint") for a, _ in cuts])  # one for each segment
     segment = F.lit(first_segment - 1) + F.size(F.filter(starts, lambda a: a <= F.col("n")))
-    return rows.withColumn("segment", segment.cast("int")).drop("__size", "__end")
+    return rows.withColumn("segment", segment.cast("int"))

@@ -32,6 +32,16 @@ STORED = T.StructType([f for f in LOG_SCHEMA.fields if f.name != "segment"] + [T
 SEGMENTS = "segment int, read_only boolean, archived boolean, head_version int, records bigint, hashes bigint, min_timestamp bigint, max_timestamp bigint, total_bytes bigint"
 
 
+_COLUMNS = [c.split()[0] for c in SEGMENTS.split(", ")]
+
+
+def _no_stats(segment: int) -> dict:
+    return {
+        "segment": segment, "read_only": False, "archived": False, "head_version": seg.VERSION, "records": 0, "hashes": 0,
+        "min_timestamp": seg.NO_MIN, "max_timestamp": seg.NO_MAX, "total_bytes": 0,
+    }
+
+
 def identity_digest():
     """Digest of what makes two records the same."""
     return digest(F.col("table_name"), F.col("id_key"), F.col("timestamp"), F.hex("data"))
@@ -76,9 +86,9 @@ class LogStore:
             return self.spark.createDataFrame([], SEGMENTS)
         return self.spark.read.schema(SEGMENTS).parquet(f"{self.path}/segments")
 
-    def _write_segments(self, rows: DataFrame) -> None:
-        """Replaces the statistics: written beside, then moved into place."""
-        rows = self.spark.createDataFrame(rows.collect(), SEGMENTS)  # a row for each segment of up to 2 GB
+    def _write_segments(self, rows: list[dict]) -> None:
+        """Replaces the statistics, a row for each segment of up to 2 GB: written beside, then moved into place."""
+        rows = self.spark.createDataFrame([tuple(r[c] for c in _COLUMNS) for r in rows], SEGMENTS)
         new = f"{self.path}/segments_new"
         rows.coalesce(1).write.mode("overwrite").parquet(new)
         fs, p = _fs(self.spark, f"{self.path}/segments")
@@ -104,45 +114,56 @@ class LogStore:
         if not span[0]:
             return {"seen": 0, "added": 0, "duplicates": 0}
         self._recover()
-        known = [r.asDict() for r in self.segments().collect()]
+        known = {r["segment"]: r.asDict() for r in self.segments().collect()}
         first = first_deliveries(batch, [F.col("digest")], F.col(order[0]), [F.col(c) for c in order[1:]], [*cols, *order])
         # only segments whose times meet the batch's can hold a duplicate; within them only those times
-        meet = [s["segment"] for s in known if s["min_timestamp"] <= span[2] and s["max_timestamp"] >= span[1]]
+        meet = [n for n, s in known.items() if s["min_timestamp"] <= span[2] and s["max_timestamp"] >= span[1]]
         if meet:
             stored = self.records().where(F.col("segment").isin(meet) & F.col("timestamp").between(span[1], span[2])).select("digest")
             first = first.join(stored, "digest", "left_anti")
-        last = max(known, key=lambda s: s["segment"], default=None)
+        last = known[max(known)] if known else None
         at, n, b = (1, 0, seg.HEAD_BYTES) if last is None else (last["segment"], last["records"], last["total_bytes"] + seg.HEAD_BYTES)
         if last and (last["read_only"] or last["archived"] or n >= self.max_records):
             at, n, b = last["segment"] + 1, 0, seg.HEAD_BYTES
         rows = seg.roll_segments(first, order, self.max_records, self.max_bytes, at, n, b)
-        start = sum(s["records"] for s in known)
-        out = rows.withColumn("seq", F.col("n") + start).select(*[f.name for f in STORED.fields])
-        # a segment is at most as large as one task's file may be; sorted for pruning by table and identifier
-        out = materialise(out, "added")
-        added = out.count()
-        if added:
+        start = sum(s["records"] for s in known.values())
+        # a row for each segment that gets something
+        new = rows.groupBy("segment").agg(F.count(F.lit(1)), F.min("timestamp"), F.max("timestamp"), F.sum("size")).collect()
+        if new:
+            self._mark(True)
+            out = rows.withColumn("seq", F.col("n") + start).select(*[f.name for f in STORED.fields])
+            # a segment is at most as large as one task's file may be; sorted for pruning by table and identifier
             w = out.repartition("segment").sortWithinPartitions("table_name", "id_key", "seq").write.mode("append").partitionBy("segment")
             # ids of high cardinality get a bloom filter; a dictionary would keep it from being written
             w.option("parquet.bloom.filter.enabled#id_key", "true").option("parquet.enable.dictionary#id_key", "false").parquet(f"{self.path}/records")
-            new = [r["segment"] for r in out.select("segment").distinct().collect()]
-            self._restat(known, new)
+            for n, k, lo, hi, size in new:
+                s = known.setdefault(n, _no_stats(n))
+                s["records"] += k
+                s["hashes"] += k  # all records are distinct: what isn't was left out
+                s["min_timestamp"], s["max_timestamp"] = min(s["min_timestamp"], lo), max(s["max_timestamp"], hi) if s["records"] > k else hi
+                s["total_bytes"] += size
+                s["read_only"] = s["records"] >= self.max_records
+            self._write_segments(list(known.values()))
+            self._mark(False)
+        added = sum(r[1] for r in new)
         return {"seen": span[0], "added": added, "duplicates": span[0] - added}
 
-    def _restat(self, known: list[dict], touched: Sequence[int]) -> None:
-        fresh = seg.stats(self.records().where(F.col("segment").isin(list(touched)))).withColumns(
-            {"archived": F.lit(False), "head_version": F.lit(seg.VERSION), "read_only": F.col("records") >= self.max_records}
-        )
-        keep = [s for s in known if s["segment"] not in set(touched)]
-        cols = [c.split()[0] for c in SEGMENTS.split(", ")]
-        self._write_segments(self.spark.createDataFrame(keep, SEGMENTS).unionByName(fresh.select(*cols)))
+    def _mark(self, on: bool) -> None:
+        """The marker stands while records may be ahead of the statistics."""
+        fs, p = _fs(self.spark, f"{self.path}/_writing")
+        fs.create(p, True).close() if on else fs.delete(p, False)
 
     def _recover(self) -> None:
-        """Makes statistics agree with the records: a writer that died between the two left some out."""
-        bad = self.fsck().where(~F.col("ok")).collect()
+        """Makes statistics agree with the records if a writer died between the two."""
+        if not self._exists("_writing"):
+            return
+        bad = [r["segment"] for r in self.fsck().where(~F.col("ok")).collect()]
         if bad:
-            lost = [r["segment"] for r in bad]
-            self._restat([r.asDict() for r in self.segments().where(~F.col("segment").isin(lost)).collect()], lost)
+            keep = [r.asDict() for r in self.segments().where(~F.col("segment").isin(bad)).collect()]
+            for r in seg.stats(self.records().where(F.col("segment").isin(bad))).collect():
+                keep.append(_no_stats(r["segment"]) | r.asDict() | {"read_only": r["records"] >= self.max_records})
+            self._write_segments(keep)
+        self._mark(False)
 
     # -- reading
 
@@ -210,7 +231,7 @@ class LogStore:
                 s["archived"] = s["archived"] or s["segment"] in todo
                 s["read_only"] = True if s["archived"] else s["read_only"]
             if todo:
-                self._write_segments(self.spark.createDataFrame(known, SEGMENTS))
+                self._write_segments(known)
             return sorted(todo)
         finally:
             unlock()

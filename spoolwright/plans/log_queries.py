@@ -538,7 +538,7 @@ def saved_source(spark, sf_dir):
 def stream_update(spark, sf_dir):
     """Spool files ingested by a stream in small batches into a store."""
     s = LogStore(spark, fresh_path(spark, "db"))
-    update(s, _spooled(spark, replayed(spark, sf_dir).repartition(6)), batch_bytes=1 << 20)
+    update(s, _spooled(spark, replayed(spark, sf_dir).repartition(6)), batch_bytes=4 << 20)
     return s.records().selectExpr(*SHOWN)
 
 
