@@ -11,17 +11,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..session import conf
 
 TARGET_BYTES = 128 << 20
 OPEN_COST = 4 << 20
-#: Jobs that run side by side, one a folder.
-AT_ONCE = 6
+#: Folders that one job packs.
+AT_ONCE = 200
 
 
 class VerificationError(RuntimeError):
@@ -45,62 +46,95 @@ def sub_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and not s.getPath().getName().startswith(("_", ".")))
 
 
+def _sums(df: DataFrame) -> list[Column]:
+    cols: list[Column] = [F.to_json(F.col(f"`{c}`")) if t.startswith("map") else F.col(f"`{c}`") for c, t in df.dtypes]
+    h = F.xxhash64(*cols)
+    return [F.count(F.lit(1)), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.bit_xor(h), F.lit(0))]
+
+
 def fingerprint(df: DataFrame) -> tuple[int, int, int]:
     """Count, sum and xor of the rows' 64-bit hashes: two tables that hold the same rows, as often, agree whatever
     their order. Maps are hashed through their JSON form."""
-    cols: list[Column] = [F.to_json(F.col(f"`{c}`")) if t.startswith("map") else F.col(f"`{c}`") for c, t in df.dtypes]
-    h = F.xxhash64(*cols)
-    r = df.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first()
-    return r[0], int(r[1] or 0), r[2] or 0
-
-
-def pack_folder(spark: SparkSession, src: str, dst: str, target_bytes: int, fmt: str = "parquet") -> tuple[int, int]:
-    """One folder of small files into few; gives the numbers of files before and after. See ``pack_small_files``."""
-    sizes = file_sizes(spark, src)
-    if not sizes:
-        return 0, 0
-    df = spark.read.format(fmt).load(src)
-    want = max(1, math.ceil(sum(sizes) / target_bytes))
-    staged = dst + "_staged"
-    df.coalesce(want).write.format(fmt).mode("overwrite").save(staged)
-    if (a := fingerprint(df)) != (b := fingerprint(spark.read.format(fmt).schema(df.schema).load(staged))):
+    return tuple(df.agg(*_sums(df)).first())
+
+
+def fingerprints(df: DataFrame, by: str) -> dict[int, tuple[int, int, int]]:
+    """``fingerprint`` of the rows of each value of ``by``."""
+    return {r[0]: tuple(r)[1:] for r in df.groupBy(by).agg(*_sums(df.drop(by))).collect()}
+
+
+def _pack(spark: SparkSession, src: str, dst: str, folders: list[str], target_bytes: int, fmt: str, schema: StructType) -> dict[str, tuple[int, int]]:
+    """Packs some folders in one job: a union of scans, each of one folder's packed splits, coalesced to its number of
+    files. A task of the union thus belongs to one folder and writes one file."""
+    sizes = {f: file_sizes(spark, f"{src}/{f}") for f in folders}
+    full = [f for f in folders if sizes[f]]
+    if not full:
+        return {f: (0, 0) for f in folders}
+
+    def scan(i: int, f: str) -> DataFrame:
+        want = max(1, math.ceil(sum(sizes[f]) / target_bytes))
+        return spark.read.format(fmt).schema(schema).load(f"{src}/{f}").coalesce(want).withColumn("__folder", F.lit(i))
+
+    rows = reduce(DataFrame.unionByName, [scan(i, f) for i, f in enumerate(full)])
+    staged = dst.rstrip("/") + "_staged"
+    rows.write.format(fmt).mode("overwrite").partitionBy("__folder").save(staged)
+    written = spark.read.format(fmt).schema(StructType([*schema.fields, StructField("__folder", IntegerType())])).load(staged)
+    if (a := fingerprints(rows, "__folder")) != (b := fingerprints(written, "__folder")):
+        fs, p = _fs(spark, staged)
+        fs.delete(p, True)
         raise VerificationError(f"{src}: read {a}, wrote {b}")
-    fs, p = _fs(spark, dst)
+    done = {f: (0, 0) for f in folders}
+    for i, f in enumerate(full):
+        fs, p = _fs(spark, f"{dst}/{f}" if f else dst)
+        fs.delete(p, True)
+        fs.mkdirs(p.getParent())
+        at = _fs(spark, f"{staged}/__folder={i}")[1]
+        if not fs.exists(at):  # files without rows
+            scan(i, f).drop("__folder").limit(0).write.format(fmt).save(at.toString())
+        if not fs.rename(at, p):
+            raise VerificationError(f"could not move {at} to {p}")
+        done[f] = len(sizes[f]), len(file_sizes(spark, p.toString()))
+    fs, p = _fs(spark, staged)
     fs.delete(p, True)
-    fs.mkdirs(p.getParent())
-    if not fs.rename(_fs(spark, staged)[1], p):
-        raise VerificationError(f"could not move {staged} to {dst}")
-    return len(sizes), len(file_sizes(spark, dst))
+    return done
 
 
 def pack_small_files(
-    spark: SparkSession, src: str, dst: str, target_bytes: int = TARGET_BYTES, open_cost: int = OPEN_COST, fmt: str = "parquet"
+    spark: SparkSession, src: str, dst: str, target_bytes: int = TARGET_BYTES, open_cost: int = OPEN_COST, fmt: str = "parquet", schema: StructType | None = None
 ) -> dict[str, tuple[int, int]]:
-    """Packs the files of ``src``, or of each partition folder in it (``column=value``), into files of about
-    ``target_bytes`` at the same place under ``dst``. Gives ``{folder: (files before, files after)}``.
+    """Packs the files of ``src``, or of each folder in it (``column=value``), into files of about ``target_bytes`` at
+    the same place under ``dst``. Gives ``{folder: (files before, files after)}``. All files have one schema, which is
+    read from one of them if it isn't given.
 
     Defined cases: rows come out as often as they came in, nulls and all; an empty folder gives none; a folder with
-    files below it as well as folders is refused; a destination that exists is replaced, once the new files are known
-    to be right. Rows that fail the check raise ``VerificationError`` and leave the destination untouched.
+    files as well as folders is refused; a destination that exists is replaced, once the new files are known to be
+    right. Rows that fail the check raise ``VerificationError`` and leave the destination untouched.
     """
     folders = sub_folders(spark, src)
     if folders and file_sizes(spark, src):
         raise ValueError(f"{src} has both files and folders")
-    # The open cost weighs a small file as so many bytes, so a split takes target / open_cost files at most; it is
-    # lowered with the target lest packing by bytes never comes about.
-    cost = min(open_cost, max(1, target_bytes // 64))
-    # Splits never get larger than the target, nor so small that every core gets one: few files are the aim here.
+    folders = folders or [""]
+    if schema is None:
+        some = next((f for f in folders if file_sizes(spark, f"{src}/{f}")), None)
+        if some is None:
+            return {f: (0, 0) for f in folders}
+        schema = spark.read.format(fmt).load(f"{src}/{some}").schema
+    done: dict[str, tuple[int, int]] = {}
+    # A file weighs its size and the open cost, so a split takes target / open_cost files at most; the cost is lowered
+    # with the target lest packing by bytes never comes about. Splits aren't made smaller so that every core gets one:
+    # few files are the aim here. As a task writes to one folder, it needs no sort by folder first. A union of scans
+    # of one split each would by itself become one task.
     with conf(
         spark,
         spark__sql__files__maxPartitionBytes=target_bytes,
-        spark__sql__files__openCostInBytes=cost,
+        spark__sql__files__openCostInBytes=min(open_cost, max(1, target_bytes // 64)),
         spark__sql__files__minPartitionNum=1,
+        spark__sql__maxConcurrentOutputFileWriters=4,
+        spark__sql__unionOutputPartitioning=False,
     ):
-        if not folders:
-            return {"": pack_folder(spark, src, dst, target_bytes, fmt)}
-        with ThreadPoolExecutor(AT_ONCE) as pool:
-            done = pool.map(lambda f: (f, pack_folder(spark, f"{src}/{f}", f"{dst}/{f}", target_bytes, fmt)), folders)
-            return dict(done)
+        for k in range(0, len(folders), AT_ONCE):
+            done |= _pack(spark, src, dst, folders[k : k + AT_ONCE], target_bytes, fmt, schema)
+    return done
 
 
 def first_occurrences(df: DataFrame, same: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -158,7 +192,7 @@ def consolidate_spool(
     fragments, packed = f"{out}/fragments", f"{out}/packed"
     # a copy of the name stays in the file: folder names are escaped, and read back as numbers where they look so
     counted.withColumn("folder", F.col("table_name")).write.partitionBy("folder").parquet(fragments)
-    pack_small_files(spark, fragments, packed, target_bytes, open_cost)
+    pack_small_files(spark, fragments, packed, target_bytes, open_cost, schema=counted.schema)
     fs, p = _fs(spark, fragments)
     fs.delete(p, True)
     if not _fs(spark, packed)[0].exists(_fs(spark, packed)[1]):

@@ -67,7 +67,7 @@ def conf(spark: SparkSession, **values: object):
     for k, v in values.items():
         k = k.replace("__", ".")
         old[k] = spark.conf.get(k, None)
-        spark.conf.set(k, str(v))
+        spark.conf.set(k, str(v).lower() if isinstance(v, bool) else str(v))
     try:
         yield
     finally:

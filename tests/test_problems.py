@@ -159,8 +159,8 @@ def test_packing_of_files(spark, tmp_path):
 def test_packing_is_verified(spark, tmp_path, monkeypatch):
     src, dst = f"file://{tmp_path}/src", f"file://{tmp_path}/dst"
     spark.range(10).write.parquet(src)
-    seen = iter([(10, 1, 1), (10, 2, 1)])
-    monkeypatch.setattr(cp, "fingerprint", lambda df: next(seen))
+    seen = iter([{0: (10, 1, 1)}, {0: (10, 2, 1)}])
+    monkeypatch.setattr(cp, "fingerprints", lambda df, by: next(seen))
     with pytest.raises(cp.VerificationError):
         cp.pack_small_files(spark, src, dst)
     assert not (tmp_path / "dst").exists() and spark.read.parquet(src).count() == 10
