@@ -267,16 +267,17 @@ def check_batch(index: AcceptedIndex, batch: DataFrame, block_rows: int = BLOCK_
     message that is in the batch several times all but the first are repeats; an empty batch or history gives no
     matches; extra columns are not read.
     """
-    rows = materialise(contents(batch), "batch")
-    classes = materialise(rows.groupBy("k", "content").agg(F.min("seq").alias("seq")), "classes")
+    exact = digest(F.hex("k"), F.col("content"))  # what full copies share; 16 bytes in place of the content
+    rows = materialise(contents(batch).withColumn("h", exact), "batch")
+    classes = materialise(rows.groupBy("h", "k", "content").agg(F.min("seq").alias("seq")), "classes")
 
     # against the history: bucket by bucket, the index where it lies
-    new = index.layout.asked(classes).repartition(index.layout.n_buckets, "bucket")
+    new = index.layout.asked(classes.drop("h")).repartition(index.layout.n_buckets, "bucket")
     hits = index.table().groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(_oldest_match, "new_seq bigint, old_seq bigint")
     matched = materialise(hits.groupBy("new_seq").agg(F.min("old_seq").alias("best")), "matched")
 
     # against what is new itself; what repeats the history is no case to compare with
-    all_new = classes.join(matched.withColumnRenamed("new_seq", "seq"), "seq", "left")
+    all_new = classes.drop("h").join(matched.withColumnRenamed("new_seq", "seq"), "seq", "left")
     fresh = materialise(all_new.where("best IS NULL").select("k", "seq", "content"), "fresh")
     layout = Layout(fresh.groupBy("k").agg(F.count(F.lit(1)).alias("n")), block_rows, bucket_rows, fresh.count())
     old, new = layout.placed(fresh), layout.asked(all_new.withColumn("best", F.coalesce("best", F.lit(2**63 - 1))))
@@ -290,7 +291,7 @@ def check_batch(index: AcceptedIndex, batch: DataFrame, block_rows: int = BLOCK_
     index.append(fresh.join(accepted, "seq", "left_semi").select("k", "seq", "content"))
 
     # every row of the batch: the first of its class by what the class repeats, the others at least by the first
-    firsts = classes.select("k", "content", F.col("seq").alias("first_seq"))
-    members = rows.join(firsts, ["k", "content"]).select("seq", "first_seq").join(best, "first_seq", "left")
+    firsts = classes.select("h", F.col("seq").alias("first_seq"))
+    members = rows.select("h", "seq").join(firsts, "h").select("seq", "first_seq").join(best, "first_seq", "left")
     out = members.withColumn("accepted_seq", F.coalesce("best", F.when(F.col("seq") != F.col("first_seq"), F.col("first_seq"))))
     return out.where("accepted_seq IS NOT NULL").select("accepted_seq", F.col("seq").alias("new_seq"))

@@ -7,6 +7,7 @@ are the 50k byte-level vocabulary among the installed public tokenizers. Each Py
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+#: The library's own pattern matcher runs out of stack on runs of blanks much longer than this.
+LONG_BLANKS = re.compile(r"\s{10000}")
+
+
 class Tokenizer:
     def __init__(self, ranks_file: str | None, pattern: str | None):
         if ranks_file is None or pattern is None:
@@ -31,6 +36,8 @@ class Tokenizer:
         self.words = regex.compile(pattern)
 
     def count(self, text: str) -> int:
+        if len(text) >= 10_000 and LONG_BLANKS.search(text):  # split here, then encode word by word
+            return sum(len(self.encoding._encode_single_piece(w)) for w in self.words.findall(text))
         return len(self.encoding.encode_ordinary(text))
 
 

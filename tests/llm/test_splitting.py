@@ -60,6 +60,17 @@ def test_texts(text, limit, overlap):
     check(text, sp.pieces(text, T, limit, overlap), limit, overlap)
 
 
+@pytest.mark.parametrize("text", [" " * 600_000, "a\n" + "\n" * 300_000 + "b", "x" + " \t" * 200_000])
+def test_very_long_blanks(text):
+    cut = sp.pieces(text, T)
+    assert len(cut) > 1 and all(n <= 4096 for _, _, n, _ in cut) and cut[-1][1] == len(text)
+
+
+def test_both_ways_of_counting_agree():
+    for text in (" " * 10_000 + "x  y", "q\n" * 3 + "\t" * 12_000 + "z", "a b\n" + " " * 11_000 + "\nc 'd 's"):
+        assert T.count(text) == len(T.encoding.encode_ordinary(text))
+
+
 def test_overlap_is_as_told():
     text = "plain words and nothing else here " * 600
     cut = sp.pieces(text, T, 500, 60)
