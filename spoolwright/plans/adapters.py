@@ -26,13 +26,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(e, F.col("event_type"), F.col("user_id"), None, to_millis(F.col("ts")), F.col("props"), F.col("event_id"))
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    return _log(o, F.lit("order"), F.col("o_orderkey"), None, to_millis(F.col("o_orderdate")), F.col("o_orderstatus"), F.col("o_orderkey"))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """String identifiers: the document's repository."""
+    """lang as table, the repository as string identifier, text as data."""
     d = table(spark, sf_dir, "documents")
     return _log(d, F.coalesce("lang", F.lit("none")), None, F.col("source"), F.col("doc_id"), F.col("text"), F.col("doc_id"))
 

@@ -95,6 +95,17 @@ def get_table(spark, sf_dir):
     return r.where(F.col("table_name") == (name[0] if name else "")).select("seq", "id_key", "timestamp")
 
 
+_DOCUMENTS = "(SELECT doc_id AS seq, coalesce(lang, 'none') AS table_name, 's:' || coalesce(source, '') AS id_key FROM documents)"
+
+
+@query(f"""SELECT seq, table_name FROM {_DOCUMENTS} WHERE id_key = (SELECT id_key FROM {_DOCUMENTS} GROUP BY id_key ORDER BY count(*) DESC, id_key LIMIT 1)""")
+def get_string_id(spark, sf_dir):
+    """All records of the string identifier that has most."""
+    d = adapters.documents(spark, sf_dir)
+    top = d.groupBy("id_key").count().orderBy(F.desc("count"), "id_key").first()
+    return d.where(F.col("id_key") == (top["id_key"] if top else "")).select("seq", "table_name")
+
+
 @query("""SELECT s AS typed, CASE WHEN regexp_full_match(s, '[+-]?[0-9]+') AND try_cast(s AS INT) IS NOT NULL THEN 'i:' || try_cast(s AS INT) ELSE 's:' || s END AS id_key
 FROM (VALUES ('007'), ('+5'), ('-5'), (' 5'), ('5.0'), ('3000000000'), (''), ('abc')) t(s)""")
 def parse_ids(spark, sf_dir):

@@ -76,7 +76,8 @@ def conf(spark: SparkSession, **values: object):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. Timestamps without zone are read as they are."""
+    """A driver table. Its times are UTC without a zone, so the session's zone is set to UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
