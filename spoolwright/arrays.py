@@ -131,8 +131,9 @@ def encoding_of_string(c: Column) -> Column:
 
 
 def collected(df: DataFrame, key: str, seq: str, value: str, encoding: Column) -> DataFrame:
-    """For each key its first 1024 values in order of ``seq``, their number in all, and the encoding that holds them
-    all. What is kept of a key is bounded before it is gathered: chunks of its rows are cut to 1024 first."""
+    """For each key all its values in order of ``seq``, their number, and the encoding that holds them all. A key of more
+    than 1024 values fails, as adding to a full array does. The numbers are held against that by a filter, whatever is
+    read of the result; what is gathered of a key until then is bounded: chunks of its rows are cut to 1024 first."""
     from pyspark.sql import Window
 
     rank = {name: i for row in WIDER for i, name in enumerate(e.name for e in row)}
@@ -140,6 +141,8 @@ def collected(df: DataFrame, key: str, seq: str, value: str, encoding: Column) -
     rows = df.select(F.col(key).alias("k"), F.col(seq).alias("s"), F.col(value).alias("v"), encoding.alias("e"))
     rows = rows.where(F.col("v").isNotNull()).withColumn("l", level[F.col("e")])
     wide = rows.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("l", "e"))["e"].alias("encoding"))
+    full = F.raise_error(F.concat(F.lit(f"more than {MAX_SIZE} values: {key} "), F.coalesce(F.col("k").cast("string"), F.lit("null"))))
+    wide = wide.where(F.when(F.col("size") > MAX_SIZE, full.cast("boolean")).otherwise(True))
     part = F.pmod(F.xxhash64("s"), F.lit(64))
     cut = rows.withColumn("c", part).withColumn("r", F.row_number().over(Window.partitionBy("k", "c").orderBy("s"))).where(F.col("r") <= MAX_SIZE)
     cut = cut.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("s"))).where(F.col("r") <= MAX_SIZE)
