@@ -130,10 +130,26 @@ def _inside(word: str, start: int, strong: dict[int, int], t: Tokenizer, limit:
         at = e
 
 
+def _back(text: str, t: Tokenizer, cuts: Cuts, first: int, last: int, overlap: int) -> int | None:
+    """The nearest cut from which there are at least ``overlap`` tokens to the cut ``last``; none if only ``first`` or
+    what lies before it would do. Parts of a word, counted apart, can be more tokens than they are together, so what
+    is repeated is counted as it stands, and the cut goes further back by what is missing."""
+    end, told = int(cuts.chars[last]), overlap
+    while True:
+        back = int(np.searchsorted(cuts.tokens, cuts.tokens[last] - told, side="right")) - 1
+        if back <= first:
+            return None
+        missing = overlap - t.count(text[int(cuts.chars[back]) : end])
+        if missing <= 0:
+            return back
+        told = int(cuts.tokens[last] - cuts.tokens[back]) + missing
+
+
 def pieces(text: str, t: Tokenizer, limit: int = LIMIT, overlap: int = OVERLAP, least_fill: float = LEAST_FILL) -> list[tuple[int, int, int, int]]:
     """(start, end, tokens, strength of the cut at the end) of each piece, in characters. A text within the limit is
-    one piece. Each later piece begins ``overlap`` tokens before the end of the one before, or at the nearest place
-    before that where the text may be cut."""
+    one piece. Each later piece begins ``overlap`` tokens before the end of the one before, counted in the text that is
+    repeated, or at the nearest place before that where the text may be cut. Only where a single code point takes so
+    much of the limit that this leaves no room to go on, less is repeated."""
     if not 0 <= overlap < limit * least_fill:
         raise ValueError("the overlap must be less than the least piece")
     if len(text.encode("utf-8", "surrogatepass")) <= limit or (n := t.count(text)) <= limit:
@@ -141,17 +157,18 @@ def pieces(text: str, t: Tokenizer, limit: int = LIMIT, overlap: int = OVERLAP,
         return [(0, len(text), n, NONE)] if text else []
     cuts = Cuts(text, t, limit)
     out: list[tuple[int, int, int, int]] = []
-    first, room = 0, limit  # index of the cut at which the piece begins
+    first, done, same = 0, 0, 0  # cuts at which the piece begins and the one before ended, tokens between
+    room, least = limit, 1  # least: the first cut at which the piece may end
     table, base = None, 0
     while True:
-        begin = cuts.tokens[first]
+        begin = cuts.tokens[done] - same
         if cuts.tokens[-1] - begin <= room:
-            last = len(cuts.tokens) - 1
+            last = hi = len(cuts.tokens) - 1
         else:
             hi = int(np.searchsorted(cuts.tokens, begin + room, side="right")) - 1
             # progress needs more than the overlap, which the next piece repeats
             lo = int(np.searchsorted(cuts.tokens, begin + max(int(room * least_fill), overlap + 1)))
-            lo = min(max(lo, first + 1), max(hi, first + 1))
+            lo = min(max(lo, least), max(hi, least))
             hi = max(hi, lo)
             if table is None or hi - base >= table.n or lo < base:
                 base = lo
@@ -159,16 +176,25 @@ def pieces(text: str, t: Tokenizer, limit: int = LIMIT, overlap: int = OVERLAP,
             last = base + table.best(lo - base, hi - base)
         a, b = int(cuts.chars[first]), int(cuts.chars[last])
         n = t.count(text[a:b])
-        if n > limit and last > first + 1:  # parts of a long word that count more together
-            room -= max(1, n - limit)
+        if n > limit and last > first + 1:
+            least = done + 1
+            if last > least:  # parts of a long word that count more together
+                room -= max(1, n - limit)
+            else:  # what is repeated leaves no room
+                first += 1
+                same = t.count(text[int(cuts.chars[first]) : int(cuts.chars[done])])
             continue
-        room = limit
         end = last == len(cuts.tokens) - 1
+        back = last if end else _back(text, t, cuts, first, last, overlap)
+        if back is None and last < hi and room == limit:  # too short to be repeated from: as long as may be
+            least = hi
+            continue
         out.append((a, b, n, NONE if end else int(cuts.strengths[last])))
         if end:
             return out
-        back = int(np.searchsorted(cuts.tokens, cuts.tokens[last] - overlap, side="right")) - 1
-        first = back if back > first else last
+        first, done = min(first + 1, last) if back is None else back, last
+        same = t.count(text[int(cuts.chars[first]) : b])
+        room, least = limit, done + 1
 
 
 def split_documents(

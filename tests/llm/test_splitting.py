@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,6 +79,24 @@ def test_overlap_is_as_told():
     assert all(T.count(text[c:b]) == 60 for (_, b, _, _), (c, _, _, _) in zip(cut, cut[1:]))
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["\n" * 9000, "a b\n\n" * 2000, "code here \n\n    " * 1500, " \t\r\n" * 3000, "x\n \n" * 3000, "x" * 20_000, "и" * 9000, "word" + "\n" * 700 + "end. " * 900],
+)
+@pytest.mark.parametrize("limit,overlap", [(400, 30), (1000, 128), (4096, 128), (400, 190)])
+def test_overlap_is_counted_in_the_text(text, limit, overlap):
+    cut = sp.pieces(text, T, limit, overlap)
+    check(text, cut, limit, overlap)
+    assert all(T.count(text[c:b]) >= overlap for (_, b, _, _), (c, _, _, _) in zip(cut, cut[1:]))
+
+
+def test_overlap_of_documents(sf):
+    for r in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column("text").to_pylist():
+        cut = sp.pieces(r or "", T, 512, 128)
+        check(r or "", cut, 512, 128)
+        assert all(T.count(r[c:b]) >= 128 for (_, b, _, _), (c, _, _, _) in zip(cut, cut[1:]))
+
+
 def test_stretches(monkeypatch):
     text = "one two. three\n" * 2000
     whole = sp.pieces(text, T, 100, 10)
