@@ -1,12 +1,15 @@
-"""Each new batch against all that was accepted, without going through the history's texts again.
+"""Each new batch against all that was accepted, going through those buckets of the history that the batch asks for.
 
 The history is an index: tables bucketed by message key, with each message's normalised content (its distinct words,
 sorted) as the exact hash input and as the parts from which coverage is counted. A log message is one paragraph, so
 whole-paragraph hashes would find full copies alone; the parts hashed and shared here are the message's words.
 
 * A batch is normalised once. Messages of equal content and key are one class, found by hash aggregation.
-* The classes go to the buckets of their keys; the bucketed index is not shuffled. In a bucket an inverted list of
-  (key, word) finds what shares enough parts, and the exact coverage decides.
+* The classes go to the buckets of their keys; the bucketed index is not shuffled, and buckets that no class asks for
+  aren't read. In a bucket an inverted list of (key, word) finds what shares enough parts, and the exact coverage decides.
+  The contents of a bucket that is read are coded anew for each batch.
+* There is no semi-join by content hash before that: the answer is the oldest accepted message that is alike, and in a
+  history, which may hold near copies, that can be another than the full copy the hash would find.
 * Keys with more messages than a block takes are spread over several buckets by content, and a new message of such a
   key goes to all of them, so a key with a third of all rows fills no task.
 * What is accepted is appended to the index in its buckets.
@@ -230,8 +233,10 @@ class AcceptedIndex:
         out = self.layout.placed(rows).repartition(n, "bucket")
         out.write.mode("append").format("parquet").bucketBy(n, "bucket").option("path", self.path).saveAsTable(self.name)
 
-    def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+    def table(self, buckets: list[int] | None = None) -> DataFrame:
+        """All accepted messages, or those of some buckets; files of other buckets aren't read."""
+        t = self.spark.table(self.name)
+        return t if buckets is None else t.where(F.col("bucket").isin(buckets))
 
     def drop(self) -> None:
         """Forgets the table's name; its files stay."""
@@ -272,8 +277,10 @@ def check_batch(index: AcceptedIndex, batch: DataFrame, block_rows: int = BLOCK_
     classes = materialise(rows.groupBy("h", "k", "content").agg(F.min("seq").alias("seq")), "classes")
 
     # against the history: bucket by bucket, the index where it lies
-    new = index.layout.asked(classes.drop("h")).repartition(index.layout.n_buckets, "bucket")
-    hits = index.table().groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(_oldest_match, "new_seq bigint, old_seq bigint")
+    asked = index.layout.asked(classes.drop("h"))
+    buckets = sorted(r[0] for r in asked.select("bucket").distinct().collect())
+    new = asked.repartition(index.layout.n_buckets, "bucket")
+    hits = index.table(buckets).groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(_oldest_match, "new_seq bigint, old_seq bigint")
     matched = materialise(hits.groupBy("new_seq").agg(F.min("old_seq").alias("best")), "matched")
 
     # against what is new itself; what repeats the history is no case to compare with

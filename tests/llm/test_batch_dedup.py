@@ -101,6 +101,28 @@ def test_pairs_are_all_pairs(old, new, least):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_only_buckets_asked_for_are_read(spark, monkeypatch):
+    read = []
+    table = bd.AcceptedIndex.table
+
+    def seen(self, *a):
+        read.append(table(self, *a))
+        return read[-1]
+
+    monkeypatch.setattr(bd.AcceptedIndex, "table", seen)
+    history = [(i, f"t{i}", 1, 1, None, b"words of message %d" % i) for i in range(60)]
+    got, want, _ = run(spark, history, [(100, "t7", 1, 1, None, b"7 message of words")], bucket_rows=3)
+    assert got == want == {(7, 100)}
+    assert 0 < read[0].count() < 20  # 20 buckets of about three
+    assert "SelectedBucketsCount: 1 out of 20" in read[0].groupBy("bucket").count()._jdf.queryExecution().toString()
+
+
+def test_the_oldest_alike_is_not_the_full_copy(spark):
+    history = [(1, "a", 1, 1, None, TEN), (2, "a", 1, 1, None, TEN + b" eleven")]
+    got, want, _ = run(spark, history, [(3, "a", 1, 1, None, TEN + b" eleven")])
+    assert got == want == {(1, 3)}
+
+
 def test_small_turns(monkeypatch):
     monkeypatch.setattr(bd, "AT_ONCE", 3)
     test_pairs_are_all_pairs()
