@@ -78,31 +78,50 @@ def contents(df: DataFrame, seq: str = "record_seq", collapse: bool = False) ->
 
 class Layout:
     """Where messages of a key lie. A key with more than ``block_rows`` has blocks of its own, ``salts`` of them from
-    bucket ``first`` on, over which its messages are spread by content; all other keys share the buckets behind."""
+    bucket ``first`` on, over which its messages are spread by content; all other keys share the buckets behind. A key
+    that outgrows what it has gets more blocks behind all others, where its messages lie from then on (``last``)."""
 
     def __init__(self, sizes: DataFrame, block_rows: int, bucket_rows: int, rows: int):
         """``sizes`` has ``k`` and ``n``, a row for each key; ``rows`` is their sum, or about that."""
         spark = sizes.sparkSession
         hot = sizes.where(F.col("n") > block_rows).select("k", F.ceil(F.col("n") / block_rows).cast("int").alias("salts"))
         before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # over hot keys alone, a few
-        self.hot = materialise(hot.withColumn("first", F.coalesce(F.sum("salts").over(before), F.lit(0)).cast("int")), "hot-keys")
+        hot = hot.withColumn("first", F.coalesce(F.sum("salts").over(before), F.lit(0)).cast("int")).withColumn("last", F.lit(True))
+        self.hot = materialise(hot, "hot-keys")
         self.n_hot = self.hot.agg(F.sum("salts")).first()[0] or 0
         self.n_cold = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // bucket_rows))
         self.n_buckets = self.n_hot + self.n_cold
-
-    def _with_hot(self, rows: DataFrame) -> tuple[DataFrame, Column]:
-        cold = (F.pmod(F.xxhash64("k"), F.lit(self.n_cold)) + self.n_hot).cast("int")
-        return rows.join(broadcast_if_small(self.hot), "k", "left"), cold
+        self.block_rows, self.next = block_rows, self.n_buckets
+
+    def _cold(self) -> Column:
+        return (F.pmod(F.xxhash64("k"), F.lit(self.n_cold)) + self.n_hot).cast("int")
+
+    def grow(self, sizes: DataFrame) -> None:
+        """Gives new blocks to the keys of ``sizes`` (``k`` and ``n``, a row for each key) that have more messages than
+        their last blocks take: twice as many as they need, so that a key has few sets of blocks. Tasks are as many as
+        before; the new blocks are dealt out to them by hash."""
+        had = self.hot.where("last").select("k", "salts")
+        over = sizes.join(broadcast_if_small(had), "k", "left").where(F.col("n") > F.coalesce("salts", F.lit(1)) * self.block_rows)
+        over = materialise(over, "outgrown")
+        if over.isEmpty():
+            return
+        before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # over keys that outgrew theirs, a few
+        new = over.select("k", (2 * F.ceil(F.col("n") / self.block_rows)).cast("int").alias("salts"))
+        new = new.withColumn("first", (F.coalesce(F.sum("salts").over(before), F.lit(0)) + self.next).cast("int")).withColumn("last", F.lit(True))
+        were_cold = over.where("salts IS NULL").select("k", F.lit(1).alias("salts"), self._cold().alias("first"), F.lit(False).alias("last"))
+        kept = self.hot.join(over.select("k", F.lit(True).alias("out")), "k", "left").select("k", "salts", "first", (F.col("last") & F.col("out").isNull()).alias("last"))
+        self.hot = materialise(kept.unionByName(were_cold).unionByName(new), "hot-keys")
+        self.next += new.agg(F.sum("salts")).first()[0]
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """Each message with its one bucket."""
-        out, cold = self._with_hot(rows)
+        out, cold = rows.join(broadcast_if_small(self.hot.where("last")), "k", "left"), self._cold()
         own = (F.col("first") + F.pmod(F.xxhash64("content"), F.col("salts"))).cast("int")
         return out.select(F.coalesce(own, cold).alias("bucket"), *rows.columns)
 
     def asked(self, rows: DataFrame) -> DataFrame:
         """Each message with every bucket that may hold something of its key."""
-        out, cold = self._with_hot(rows)
+        out, cold = rows.join(broadcast_if_small(self.hot), "k", "left"), self._cold()
         own = F.sequence(F.col("first"), F.col("first") + F.col("salts") - 1)
         return out.select(F.explode(F.coalesce(own, F.array(cold))).alias("bucket"), *rows.columns)
 
@@ -212,7 +231,8 @@ def _earlier_pairs(index: pa.Table, batch: pa.Table) -> pa.Table:
 class AcceptedIndex:
     """The accepted messages, as a table in the shared folder, bucketed by message key.
 
-    A key that grows hot after the index was built stays in its one bucket; build anew from time to time.
+    A key that grows hot after the index was built gets blocks of its own as messages are appended. The number of buckets
+    that all other keys share is fixed when it is built; build anew when the history has grown many times over.
     """
 
     def __init__(self, spark: SparkSession, path: str, layout: Layout):
@@ -224,11 +244,18 @@ class AcceptedIndex:
         spark = history.sparkSession
         sizes = history.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n")).select(digest(*[F.col(c) for c in KEY]).alias("k"), F.col("__n").alias("n"))
         index = cls(spark, path or fresh_path(spark, "accepted"), Layout(sizes, block_rows, bucket_rows, history.count()))
-        index.append(contents(history, collapse=True))
+        index._write(contents(history, collapse=True))
         return index
 
     def append(self, rows: DataFrame) -> None:
-        """Adds messages (``k, seq, content``) to the buckets of their keys."""
+        """Adds messages (``k, seq, content``) to the buckets of their keys. Of what is there, keys alone are read, for
+        their numbers of messages."""
+        new = materialise(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "new-sizes")
+        held = self.table().select("k").join(broadcast_if_small(new.select("k")), "k", "left_semi").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        self.layout.grow(new.unionByName(held).groupBy("k").agg(F.sum("n").alias("n")))
+        self._write(rows)
+
+    def _write(self, rows: DataFrame) -> None:
         n = self.layout.n_buckets
         out = self.layout.placed(rows).repartition(n, "bucket")
         out.write.mode("append").format("parquet").bucketBy(n, "bucket").option("path", self.path).saveAsTable(self.name)

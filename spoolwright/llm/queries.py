@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def p5_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new records batch after batch, each against the index to which the ones before were appended."""
+    index = AcceptedIndex.build(table(spark, sf_dir, "records"))
+    new = table(spark, sf_dir, "new_records")
+    numbers = [r[0] for r in new.select("batch_no").distinct().orderBy(F.col("batch_no").asc_nulls_last()).collect()]
+    found = [check_batch(index, new.where(F.col("batch_no").eqNullSafe(F.lit(n)))) for n in numbers]
+    index.drop()
+    if not found:
+        return spark.createDataFrame([], "accepted_seq bigint, new_seq bigint")
+    return reduce(DataFrame.unionByName, found)
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -54,6 +68,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p5_found": p5_found,
+    "p5_batches": p5_batches,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
     "p7_found": p7_found,

@@ -123,6 +123,27 @@ def test_the_oldest_alike_is_not_the_full_copy(spark):
     assert got == want == {(1, 3)}
 
 
+def test_keys_that_grow_get_blocks(spark):
+    index = bd.AcceptedIndex.build(frame(spark, []), block_rows=10, bucket_rows=10)
+    named = ("record_seq", "table_name", "id_kind", "id_int", "id_str", "data")
+    batches = [[(100 * b + i, "hot" if i % 5 else f"cold{i}", 1, 1, None, b"m%d n%d" % (i % 20 + 4 * b, i % 20 + 4 * b)) for i in range(40)] for b in range(1, 4)]
+    got = set()
+    for rows in batches:
+        got |= {(r.accepted_seq, r.new_seq) for r in bd.check_batch(index, frame(spark, rows), 10, 10).collect()}
+    assert got == brute.repeats([], [dict(zip(named, r)) for rows in batches for r in rows])
+    sizes = [r["count"] for r in index.table().groupBy("k", "bucket").count().collect()]
+    assert sum(sizes) > 20 and max(sizes) <= 14  # spread by hash, ten or fewer on average
+
+
+def test_batches(spark, sf):
+    from spoolwright.llm.queries import p5_batches
+
+    def rows(name):
+        return [r.asDict() | {"data": r.data and bytes(r.data)} for r in spark.read.parquet(f"{sf}/{name}.parquet").collect()]
+
+    assert {(r.accepted_seq, r.new_seq) for r in p5_batches(spark, sf).collect()} == brute.repeats(rows("records"), rows("new_records"))
+
+
 def test_small_turns(monkeypatch):
     monkeypatch.setattr(bd, "AT_ONCE", 3)
     test_pairs_are_all_pairs()
