@@ -33,6 +33,19 @@ def rounds(chunks: int, fan_in: int) -> int:
     return max(1, math.ceil(round(math.log(max(chunks, 1), fan_in), 9)))
 
 
+def plan_chunks(df: DataFrame) -> int:
+    """The most tasks that can end ``df``'s plan: the splits of its scans, by bytes and files as the engine packs them,
+    or ``spark.sql.shuffle.partitions`` if that is more. The plan is made, nothing is run."""
+    spark = df.sparkSession
+    conf = spark._jsparkSession.sessionState().conf()
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    scanned = sum(n for n in sizes if n < 2**62)  # the engine's word for an unknown size, that of data in memory
+    files = len(df._jdf.inputFiles())
+    splits = -(-(scanned + files * conf.filesOpenCostInBytes()) // conf.filesMaxPartitionBytes())
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, splits)
+
+
 def tree_aggregate(
     df: DataFrame,
     keys: Sequence[str],
@@ -42,8 +55,7 @@ def tree_aggregate(
 ) -> DataFrame:
     """One row for each distinct value of ``keys`` with the ``measures``, ``{name: (count|sum|min|max, column)}``.
 
-    ``chunks`` is how many tasks read ``df``; unset, it is ``spark.sql.shuffle.partitions``, the most that a shuffled
-    input has. If there are more, the result is the same and the last reducers merge a few states more.
+    ``chunks`` is how many tasks read ``df``; unset, it is found by ``plan_chunks``.
 
     Defined cases: null keys are a group of their own, as in SQL; ``count`` counts non-null values, and ``min``,
     ``max`` and ``sum`` of nothing but nulls are null; repeated rows count as often as they occur; an empty table
@@ -54,7 +66,7 @@ def tree_aggregate(
     if bad or set(keys) & set(measures):
         raise ValueError(f"unknown measures {bad} or a measure named as a key")
     if chunks is None:
-        chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        chunks = plan_chunks(df)
     todo = rounds(chunks, fan_in)
     # positional names inside, so that no column of the input can clash
     ks = [f"k{i}" for i in range(len(keys))]

@@ -145,7 +145,7 @@ def rebuilt_offsets(spark, sf_dir):
 @query(f"SELECT DISTINCT {SHOWN_SQL} FROM {REPLAY}")
 def dedup_replay(spark, sf_dir):
     r = replayed(spark, sf_dir)
-    return first_deliveries(r, [F.col(c) for c in IDENTITY], F.col("seq"), [F.col("seq")], IDENTITY).selectExpr(*SHOWN)
+    return first_deliveries(r, IDENTITY, F.col("seq"), [], IDENTITY).selectExpr(*SHOWN)
 
 
 @query(f"SELECT (SELECT count(*) FROM {REPLAY}) - (SELECT count(*) FROM (SELECT DISTINCT {SHOWN_SQL} FROM {REPLAY})) AS duplicates")

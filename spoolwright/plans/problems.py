@@ -20,7 +20,7 @@ HOT_PARTS = 100
 def key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages, first and last ts of each key; a message counts once."""
     records = table(spark, sf_dir, "records")
-    messages = first_deliveries(records, message_identity(), F.col("record_seq"), [F.col("record_seq")], [*KEY, "ts"])
+    messages = first_deliveries(records, message_identity(), F.col("record_seq"), [], [*KEY, "ts"])
     return tree_aggregate(
         messages, KEY, {"messages": ("count", F.lit(1)), "first_ts": ("min", "ts"), "last_ts": ("max", "ts")}
     )
@@ -44,7 +44,7 @@ def p2_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The other side of p2_found: one record_seq for each message."""
     records = table(spark, sf_dir, "records")
     return first_deliveries(
-        records, message_identity(), F.col("record_seq"), [F.col("record_seq")], ["record_seq", "table_name", "ts"]
+        records, message_identity(), F.col("record_seq"), [], ["record_seq", "table_name", "ts"]
     )
 
 

@@ -276,3 +276,33 @@ def test_found_queries_are_whole(spark, sf):
     stats = problems.p1_key_stats(spark, sf).collect()
     assert sum(r.messages for r in stats) == problems.p2_first_deliveries(spark, sf).count()
     assert max(Counter((r.table_name, r.id_key) for r in stats).values()) == 1
+
+
+def test_first_deliveries_are_hashed(spark):
+    df = spark.range(100).select("id", (F.col("id") % 7).alias("k"), F.timestamp_millis(F.col("id") % 3).alias("at"), F.lit("x").alias("s"))
+
+    def plan(*a):
+        with conf(spark, spark__sql__adaptive__enabled=False):
+            return dl.first_deliveries(df, *a)._jdf.queryExecution().executedPlan().toString()
+
+    for a in ((["k"], F.col("id"), [], ["id", "k"]), (["k"], F.col("at"), [F.col("id")], ["id"]), (["k", "s"], F.col("at"), [], ["s", "k"])):
+        assert "SortAggregate" not in plan(*a) and "HashAggregate" in plan(*a)
+    assert "SortAggregate" in plan(["k"], F.col("id"), [], ["id", "s"])
+
+
+def test_packed_order_is_that_of_the_struct(spark):
+    rows = [("a", None, 1), ("a", -5, 9), ("a", -5, -(2**63)), ("b", None, 4), ("b", None, None), ("c", 253402300799, 2**63 - 1), ("c", None, 0), ("d", 0, None), ("d", 0, -3)]
+    df = spark.createDataFrame(rows, "k string, s bigint, tie bigint").withColumn("at", F.timestamp_seconds("s"))
+    got = {tuple(r) for r in dl.first_deliveries(df, ["k"], F.col("at"), [F.col("tie")], ["k", "tie"]).collect()}
+    assert got == {("a", -(2**63)), ("b", None), ("c", 2**63 - 1), ("d", None)}
+
+
+def test_chunks_follow_the_plan(spark, tmp_path):
+    from spoolwright.operators.tree_aggregate import plan_chunks
+
+    at = str(tmp_path / "many")
+    spark.range(200).repartition(40).write.parquet(at)
+    with conf(spark, spark__sql__files__maxPartitionBytes=1 << 20, spark__sql__files__openCostInBytes=1 << 20):
+        df = spark.read.parquet(at)
+        assert plan_chunks(df) >= 40 and plan_chunks(df.join(df, "id").groupBy("id").count()) >= 40
+    assert plan_chunks(spark.range(10)) == 4
