@@ -1,14 +1,16 @@
 """History of changing attributes: every version of an entity with the period it was valid.
 
-Updates are folded to snapshots, one for each entity and time at which it was told something; consecutive snapshots
-are joined by a null-safe full outer join that classifies what was inserted, changed or deleted; of these events
-``lead`` makes periods.
-
-An entity with a third of all rows must not become one task's window. Time is therefore cut into periods that hold
-about ``rows_per_period`` rows of *all* entities each, so that no entity has more in one period (but for rows of a
-single time). Folding, numbering, differencing and ``lead`` work within (entity, period); what crosses a period's edge,
-the state an entity enters with and the time of its next event, is carried by windows over one row for each entity
-and period.
+Consecutive snapshots meet in null-safe full outer joins: an entity that only the later one has was inserted, one that
+only the earlier one has was deleted, one that both have with other attributes was changed. The events of all pairs are
+united, and ``lead`` makes periods of them. Snapshots are given as tables (``versions_of_snapshots``), or are folded from
+a log of updates (``versions``): there an entity's n-th snapshot is its state after the n-th time it was told something,
+an entity without attributes is absent from it, and one join holds all consecutive pairs.
+
+An entity with a third of all rows must not become one task's window. The time of entities with more than
+``rows_per_period`` rows is therefore cut into periods, of about so many rows of all such entities together, so that no
+entity has more in one (but for rows of a single time). Folding, differencing and ``lead`` work within (entity,
+period); what crosses a period's edge, the state an entity enters with and the time of its next event, is carried by
+windows over one row for each such entity and period.
 """
 
 from __future__ import annotations
@@ -20,30 +22,90 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import broadcast_if_small, conf, materialise
 
 ROWS_PER_PERIOD = 250_000
-#: Periods at most; more rows than ``rows_per_period`` times this make larger periods.
-MAX_PERIODS = 4096
 
 
-def with_periods(df: DataFrame, at: str, rows_per_period: int) -> tuple[DataFrame, int]:
-    """``df`` with ``period`` and the number of periods. ``df`` is read to count it and to find the quantiles."""
-    n = df.count()
-    want = min(MAX_PERIODS, -(-n // rows_per_period))
-    cuts: list[float] = []
-    if want > 1:
-        found = df.agg(F.percentile_approx(at, [i / want for i in range(1, want)], 10 * want)).first()[0] or []
-        cuts = sorted({float(x) for x in found})
-    if not cuts:
-        return df.withColumn("period", F.lit(0)), 1
-    split = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="__at", outputCol="__p", handleInvalid="keep")
-    cut = split.transform(df.withColumn("__at", F.col(at).cast("double")))
-    return cut.withColumn("period", F.col("__p").cast("int")).drop("__at", "__p"), len(cuts) + 1
+def with_periods(df: DataFrame, entity: str, at: str, rows_per_period: int) -> DataFrame:
+    """``df`` with ``period``: 0 for entities of at most ``rows_per_period`` rows, else from 1 in order of ``at``.
+    ``df`` is read to count its entities and, if some have more rows, for quantiles of those."""
+    sizes = df.groupBy(entity).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_period)
+    large = materialise(sizes, "large-entities")  # at most one for each rows_per_period rows
+    n = large.agg(F.sum("__n")).first()[0]
+    if not n:
+        return df.withColumn("period", F.lit(0))
+    large = broadcast_if_small(large.select(F.col(entity).alias("__e"), F.lit(True).alias("__large")))
+    marked = df.join(large, F.col(entity) == F.col("__e"), "left").drop("__e")
+    want = -(-n // rows_per_period)
+    # as many quantiles as there are periods: one for each rows_per_period rows
+    cuts = marked.where("__large").agg(F.percentile_approx(at, [i / want for i in range(1, want)], 10 * want)).first()[0] or []
+    split = Bucketizer(splits=[float("-inf"), *sorted({float(x) for x in cuts}), float("inf")], inputCol="__at", outputCol="__p", handleInvalid="keep")
+    cut = split.transform(marked.withColumn("__at", F.col(at).cast("double")))
+    return cut.withColumn("period", F.when(F.col("__large"), F.col("__p").cast("int") + 1).otherwise(0)).drop("__at", "__p", "__large")
+
+
+def _any_set(attributes: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x | y, [F.col(a).isNotNull() for a in attributes])
+
+
+def _differences(before: DataFrame, after: DataFrame, on: Sequence[str], attributes: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Change events between two snapshots that are unique in ``on``, which never is null: ``on``, ``kind``, the attributes as they
+    are now (null if deleted), and of ``carry`` the later snapshot's value, or the earlier one's for what was deleted.
+    The three kinds are told apart in one pass over the join, which is their union."""
+    meet = reduce(lambda x, y: x & y, [F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")) for c in on])
+    pair = before.withColumn("__in", F.lit(True)).alias("b").join(after.withColumn("__in", F.lit(True)).alias("a"), meet, "full_outer")
+    differs = reduce(lambda x, y: x | y, [~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in attributes])
+    kind = F.when(F.col("b.__in").isNull(), "inserted").when(F.col("a.__in").isNull(), "deleted").when(differs, "changed")
+    out = pair.select(
+        *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in [*on, *carry]], kind.alias("kind"), *[F.col(f"a.{a}").alias(a) for a in attributes]
+    )
+    return out.where("kind IS NOT NULL")
+
+
+def snapshot_changes(before: DataFrame, after: DataFrame, key: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+    """``key``, ``kind`` (inserted, changed, deleted) and the attributes as ``after`` has them, of every entity that two
+    complete snapshots tell differently.
+
+    Defined cases: null keys are an entity; an entity that a snapshot has without any attribute, or lacks, isn't there;
+    of several rows of an entity in a snapshot that with the greatest attributes counts; empty snapshots delete or
+    insert all; extra columns are ignored.
+    """
+
+    def whole(df: DataFrame) -> DataFrame:
+        rows = df.where(_any_set(attributes)).groupBy(F.struct(*key).alias("__e")).agg(F.max(F.struct(*attributes)).alias("__a"))
+        return rows.select("__e", *[F.col(f"__a.{a}").alias(a) for a in attributes])
+
+    events = _differences(whole(before), whole(after), ["__e"], attributes)
+    return events.select(*[F.col(f"__e.{k}").alias(k) for k in key], "kind", *attributes)
+
+
+def versions_of_snapshots(snapshots: Sequence[tuple[int, DataFrame]], key: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+    """``versions`` of complete snapshots, each with its time: the events of all consecutive pairs united, with the
+    period until the entity's next. An entity has at most one event a snapshot, which bounds the window."""
+    if not snapshots:
+        raise ValueError("no snapshots")
+    snapshots = sorted(snapshots, key=lambda s: s[0])
+    before = snapshots[0][1].limit(0)
+    events = []
+    for at, after in snapshots:
+        events.append(snapshot_changes(before, after, key, attributes).withColumn("valid_from", F.lit(at).cast("bigint")))
+        before = after
+    united = reduce(DataFrame.unionByName, events)
+    return united.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy(*key).orderBy("valid_from"))).select(
+        *key, "kind", *attributes, "valid_from", "valid_to"
+    )
 
 
-def _same(a: str, b: str, cols: Sequence[str]) -> Column:
-    return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols])
+def snapshots_of_updates(updates: DataFrame, key: Sequence[str], attributes: Sequence[str], times: Sequence[int]) -> list[tuple[int, DataFrame]]:
+    """The complete snapshots at some times, folded from a log of updates as ``versions`` takes it: of each attribute
+    the latest that was said of it by then. Aggregated, with one state an entity and task, so a hot entity is no window."""
+    out = []
+    for t in times:
+        told = updates.where(F.col("at") <= t)
+        latest = [F.max_by(F.struct(F.col(a).alias("v")), F.when(F.col(f"set_{a}"), F.struct("at", "seq"))).alias(a) for a in attributes]
+        out.append((t, told.groupBy(*key).agg(*latest).select(*key, *[F.col(f"{a}.v").alias(a) for a in attributes])))
+    return out
 
 
 def versions(updates: DataFrame, key: Sequence[str], attributes: Sequence[str], rows_per_period: int = ROWS_PER_PERIOD) -> DataFrame:
@@ -58,58 +120,45 @@ def versions(updates: DataFrame, key: Sequence[str], attributes: Sequence[str],
     ``at`` and ``seq`` any may come last; a row that changes nothing makes no event; an empty table gives no rows;
     extra columns are ignored, whatever their names.
     """
-    key, flags = list(key), [f"set_{a}" for a in attributes]
-    rows = updates.where(F.col("at").isNotNull()).select(*key, "at", "seq", *attributes, *flags)
-    rows, n_periods = with_periods(materialise(rows, "updates"), "at", rows_per_period)
-    group = [*key, "period"]
+    spark = updates.sparkSession
+    # the entity is one column from here on, a struct that is never null, with nulls inside equal to nulls
+    rows = updates.where(F.col("at").isNotNull()).select(
+        F.struct(*key).alias("e"), "at", "seq", *[F.when(F.col(f"set_{a}"), F.struct(F.col(a).alias("v"))).alias(a) for a in attributes]
+    )
+    rows = with_periods(materialise(rows, "updates"), "e", "at", rows_per_period)
+    group = ["e", "period"]
+
+    # what an entity with several periods has been told when it enters one; a null struct: nothing said yet
+    at_end = rows.where("period > 0").groupBy(*group).agg(
+        *[F.max_by(a, F.when(F.col(a).isNotNull(), F.struct("at", "seq"))).alias(a) for a in attributes]
+    )
+    before = Window.partitionBy("e").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
+    entry = at_end.select(*group, F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("seq"), *[F.last(a, ignorenulls=True).over(before).alias(a) for a in attributes])
 
-    # the state so far in the period; a null struct: nothing said yet
+    # folding to snapshots, the entry (without a time) being the first of its period
     order = Window.partitionBy(*group).orderBy("at", "seq")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    told = rows.select(
-        *group,
-        "at",
-        F.lead("at").over(order).alias("next_at"),
-        *[F.last(F.when(F.col(f), F.struct(F.col(a).alias("v"))), ignorenulls=True).over(so_far).alias(a) for a, f in zip(attributes, flags)],
+    told = rows.select(*group, "at", F.col("seq").cast("bigint").alias("seq"), *attributes).unionByName(entry)
+    told = told.select(*group, "at", F.lead("at").over(order).alias("until"), *[F.last(a, ignorenulls=True).over(so_far)["v"].alias(a) for a in attributes])
+    ends = told.where(F.col("until").isNull() | ~F.col("until").eqNullSafe(F.col("at")))
+    snaps = ends.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("at"))).where(_any_set(attributes))
+    snaps = materialise(snaps, "snapshots")
+
+    # each snapshot beside the one before it; both sides lie by (entity, period), which serves the join and the window
+    with conf(spark, spark__sql__requireAllClusterKeysForCoPartition=False):
+        laid = snaps.repartition(*group)
+        earlier = laid.where("until IS NOT NULL").select(*group, (F.col("n") + 1).alias("n"), F.col("until").alias("at"), *attributes)
+        events = _differences(earlier, laid.where("at IS NOT NULL").drop("until"), [*group, "n"], attributes, ["at"])
+        nearest = F.lead("at").over(Window.partitionBy(*group).orderBy("at"))
+        events = materialise(events.select(*group, "at", "kind", *attributes, nearest.alias("next_at")), "events")
+
+    first = events.where("period > 0").groupBy(*group).agg(F.min("at").alias("first_at"))
+    later = first.select("e", "period", F.lead("first_at").over(Window.partitionBy("e").orderBy("period")).alias("later_at"))
+    later = broadcast_if_small(materialise(later, "later-events"))
+    timed = events.join(later, group, "left")
+    return timed.select(
+        *[F.col(f"e.{k}").alias(k) for k in key], "kind", *attributes, F.col("at").alias("valid_from"), F.coalesce("next_at", "later_at").alias("valid_to")
     )
-    ends = told.where(F.col("next_at").isNull() | (F.col("next_at") != F.col("at")))
-    snaps = ends.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("at")))
-
-    if n_periods > 1:
-        before = Window.partitionBy(*key).orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
-        entry = snaps.where(F.col("next_at").isNull()).select(*group, *[F.last(a, ignorenulls=True).over(before).alias(a) for a in attributes])
-        states = snaps.alias("s").join(entry.alias("e"), _same("s", "e", group)).select(
-            *[F.col(f"s.{c}").alias(c) for c in [*group, "at", "n"]],
-            *[F.coalesce(F.col(f"s.{a}"), F.col(f"e.{a}"))["v"].alias(a) for a in attributes],
-        )
-        entered = entry.select(*group, F.lit(1).alias("n"), *[F.col(a)["v"].alias(a) for a in attributes])
-    else:
-        states = snaps.select(*group, "at", "n", *[F.col(a)["v"].alias(a) for a in attributes])
-        entered = None
-
-    # each snapshot beside the one before it, of the same period or carried into it
-    previous = states.select(*group, (F.col("n") + 1).alias("n"), *attributes)
-    if entered is not None:
-        previous = previous.unionByName(entered)
-    pair = states.alias("c").join(previous.alias("p"), _same("c", "p", [*group, "n"]), "full_outer")
-    now = reduce(lambda x, y: x | y, [F.col(f"c.{a}").isNotNull() for a in attributes])
-    then = reduce(lambda x, y: x | y, [F.col(f"p.{a}").isNotNull() for a in attributes])
-    differs = reduce(lambda x, y: x | y, [~F.col(f"c.{a}").eqNullSafe(F.col(f"p.{a}")) for a in attributes])
-    # rows of the right side alone are last snapshots, which nothing follows
-    kind = F.when(F.col("c.at").isNull(), F.lit(None)).when(now & ~then, "inserted").when(then & ~now, "deleted").when(differs, "changed")
-    events = pair.withColumn("kind", kind).where("kind IS NOT NULL").select(
-        *[F.col(f"c.{c}").alias(c) for c in [*group, "at", *attributes]], "kind"
-    )
-
-    timed = events.withColumn("next_at", F.lead("at").over(Window.partitionBy(*group).orderBy("at")))
-    if n_periods > 1:
-        first = events.groupBy(*group).agg(F.min("at").alias("first_at"))
-        later = first.select(*group, F.lead("first_at").over(Window.partitionBy(*key).orderBy("period")).alias("later_at"))
-        timed = timed.alias("t").join(later.alias("l"), _same("t", "l", group)).select(
-            *[F.col(f"t.{c}").alias(c) for c in [*group, "at", *attributes, "kind"]],
-            F.coalesce("t.next_at", "l.later_at").alias("next_at"),
-        )
-    return timed.select(*key, "kind", *attributes, F.col("at").alias("valid_from"), F.col("next_at").alias("valid_to"))
 
 
 #: Attributes that the log tells of an entity.

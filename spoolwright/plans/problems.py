@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.compaction import consolidate_spool
 from ..operators.deliveries import first_deliveries, message_identity, repeated_deliveries
 from ..functions.text import log_text
-from ..operators.history import ATTRIBUTES, parse_updates, versions
+from ..operators.history import ATTRIBUTES, parse_updates, snapshots_of_updates, versions, versions_of_snapshots
 from ..operators.tree_aggregate import tree_aggregate
 from ..schema import KEY, id_key
 from ..session import fresh_path, materialise, table
@@ -63,13 +63,16 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidated(spark, sf_dir).select("table_name", "file_no", "pos", F.octet_length("log_bytes").alias("n_bytes"))
 
 
-def entity_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entity_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with the same key, ts and data count once, at their smallest record_seq. Notes that say nothing stay, as they
     change nothing; a filter on what is parsed would be pushed below the aggregation and parse every row twice."""
     rows = table(spark, sf_dir, "entity_records")
     once = rows.groupBy(*KEY, F.col("ts").alias("at"), "data").agg(F.min("record_seq").alias("seq"))
-    told = parse_updates(once.select("table_name", id_key().alias("id_key"), "at", "seq", "data"), log_text(F.col("data")))
-    return versions(told, ["table_name", "id_key"], ATTRIBUTES).where("kind <> 'deleted'")
+    return parse_updates(once.select("table_name", id_key().alias("id_key"), "at", "seq", "data"), log_text(F.col("data")))
+
+
+def entity_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions(entity_updates(spark, sf_dir), ["table_name", "id_key"], ATTRIBUTES).where("kind <> 'deleted'")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +86,20 @@ def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("table_name", "id_key", "kind", *ATTRIBUTES, "valid_from", F.coalesce("valid_to", F.lit(-1)).cast("bigint").alias("valid_to"))
 
 
+#: Snapshots are taken at so many times, the last one at the last ts.
+SNAPSHOTS = 6
+
+
+def p4_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions that complete periodic snapshots tell, with what was deleted: an entity the next snapshot lacks."""
+    updates = materialise(entity_updates(spark, sf_dir), "entity-updates")
+    lo, hi = updates.agg(F.min("at"), F.max("at")).first()
+    times = [lo + (hi - lo) * i // SNAPSHOTS for i in range(1, SNAPSHOTS + 1)] if lo is not None else [0]
+    taken = [(t, materialise(s, "snapshot")) for t, s in snapshots_of_updates(updates, ["table_name", "id_key"], ATTRIBUTES, times)]
+    found = versions_of_snapshots(taken, ["table_name", "id_key"], ATTRIBUTES)
+    return found.select("table_name", "id_key", "kind", *ATTRIBUTES, "valid_from", F.coalesce("valid_to", F.lit(-1)).cast("bigint").alias("valid_to"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_key_stats": p1_key_stats,
@@ -92,4 +109,5 @@ QUERIES = {
     "p3_records": p3_records,
     "p4_found": p4_found,
     "p4_versions": p4_versions,
+    "p4_snapshots": p4_snapshots,
 }

@@ -81,3 +81,14 @@ SQL |= {
     "p4_found": VERSIONS + "SELECT table_name, id_key, valid_from, valid_to FROM period WHERE kind <> 'deleted'",
     "p4_versions": VERSIONS + f"SELECT table_name, id_key, kind, {', '.join(_ATTRIBUTES)}, valid_from, valid_to FROM period WHERE kind <> 'deleted'",
 }
+
+#: The state at six times: of each entity the last snapshot by then, if it has attributes; then as above.
+SNAPSHOTS = VERSIONS.split("seen AS")[0] + f"""
+times AS (SELECT lo + (hi - lo) * i // 6 AS t FROM (SELECT min(ts) AS lo, max(ts) AS hi FROM entity_records), (SELECT unnest(range(1, 7)) AS i)),
+taken AS (SELECT t AS ts, table_name, id_key, {", ".join(f"arg_max({{'v': {a}}}, snap.ts).v AS {a}" for a in _ATTRIBUTES)} FROM times JOIN snap ON snap.ts <= t GROUP BY t, table_name, id_key),
+seen AS (SELECT *, {", ".join(f"lag({a}) OVER w AS b_{a}" for a in _ATTRIBUTES)} FROM taken WINDOW w AS (PARTITION BY table_name, id_key ORDER BY ts)),
+event AS""" + VERSIONS.split("event AS", 1)[1]
+
+SQL |= {
+    "p4_snapshots": SNAPSHOTS + f"SELECT table_name, id_key, kind, {', '.join(_ATTRIBUTES)}, valid_from, valid_to FROM period",
+}

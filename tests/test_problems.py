@@ -306,3 +306,16 @@ def test_chunks_follow_the_plan(spark, tmp_path):
         df = spark.read.parquet(at)
         assert plan_chunks(df) >= 40 and plan_chunks(df.join(df, "id").groupBy("id").count()) >= 40
     assert plan_chunks(spark.range(10)) == 4
+
+
+def test_snapshots(spark):
+    s = "k string, tier string, state string, kind string"
+    a = spark.createDataFrame([("a", "x", None, "c"), (None, "x", "y", "c"), ("b", None, "z", "c"), ("gone", "x", "x", "c"), ("void", None, None, "c"), ("a", None, "q", "c")], s)
+    b = spark.createDataFrame([("a", "x", None, "c"), (None, "x", None, "c"), ("b", None, "z", "c"), ("void", None, "w", "c")], s)
+    got = {(r.k, r.kind, r.tier, r.state) for r in hs.snapshot_changes(a, b, ["k"], ATTRS).collect()}
+    assert got == {(None, "changed", "x", None), ("gone", "deleted", None, None), ("void", "inserted", None, "w")}
+    assert hs.snapshot_changes(a, b.limit(0), ["k"], ATTRS).where("kind = 'deleted'").count() == 4
+    got = {(r.k, r.kind, r.valid_from, r.valid_to) for r in hs.versions_of_snapshots([(20, b), (10, a), (30, a)], ["k"], ATTRS).collect()}
+    want = {("a", "inserted", 10, None), (None, "inserted", 10, 20), (None, "changed", 20, 30), (None, "changed", 30, None), ("b", "inserted", 10, None)}
+    want |= {("gone", "inserted", 10, 20), ("gone", "deleted", 20, 30), ("gone", "inserted", 30, None), ("void", "inserted", 20, 30), ("void", "deleted", 30, None)}
+    assert got == want
