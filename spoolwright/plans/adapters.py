@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import to_millis
+from ..operators.compaction import SPOOL_SCHEMA
 from ..schema import id_key
 from ..session import table
 
@@ -36,3 +41,40 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers of all kinds, data in two encodings."""
     r = table(spark, sf_dir, "records")
     return r.select("table_name", "id_kind", "id_int", "id_str", F.col("ts").alias("timestamp"), "data", F.col("record_seq").alias("seq"), "segment", "byte_offset", id_key().alias("id_key"))
+
+
+def scattered(source_records: DataFrame, at: str) -> str:
+    """Lays source records out as what they come from: a file of JSON lines for each ``file_no``, named by it, a thousand
+    to a folder below ``at``. Gives ``at``. A task that runs again writes the same files again."""
+    columns = [c.split()[0] for c in SPOOL_SCHEMA.split(", ")]
+    rows = source_records.select("file_no", "pos", F.to_json(F.struct(*columns)).alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pfs
+
+        fs, root = pfs.FileSystem.from_uri(at)
+        number, lines, made = None, [], set()
+
+        def flush() -> None:
+            if lines:
+                folder = f"{root}/{'none' if number is None else number // 1000}"
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{folder}/_{number}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
+                    f.write("".join(x + "\n" for x in lines).encode())
+                fs.move(part, f"{folder}/{number}.json")
+                lines.clear()
+
+        for b in batches:
+            for n, line in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if n != number:
+                    flush()
+                    number = n
+                lines.append(line)
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["n"])
+
+    rows.repartition("file_no").sortWithinPartitions("file_no", "pos").mapInArrow(run, "n bigint").count()
+    return at

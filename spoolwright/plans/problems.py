@@ -12,6 +12,7 @@ from ..operators.history import ATTRIBUTES, parse_updates, snapshots_of_updates,
 from ..operators.tree_aggregate import tree_aggregate
 from ..schema import KEY, id_key
 from ..session import fresh_path, materialise, table
+from . import adapters
 
 #: A key is hot if its messages times this are all messages or more: 1 %.
 HOT_PARTS = 100
@@ -49,9 +50,9 @@ def p2_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consolidate_spool(
-        table(spark, sf_dir, "source_records"), table(spark, sf_dir, "source_files"), fresh_path(spark, "spool")
-    )
+    """The source records as the small files they come from, consolidated."""
+    spool = adapters.scattered(table(spark, sf_dir, "source_records"), fresh_path(spark, "small-files"))
+    return consolidate_spool(spark, spool, table(spark, sf_dir, "source_files"), fresh_path(spark, "spool"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,12 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidated(spark, sf_dir).select("table_name", "file_no", "pos", F.octet_length("log_bytes").alias("n_bytes"))
 
 
+def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each table the small files that held what counts of it, and the files that hold it now."""
+    found = consolidated(spark, sf_dir).withColumn("at", F.input_file_name())
+    return found.groupBy("table_name").agg(F.count_distinct("file_no").alias("files_before"), F.count_distinct("at").alias("files_after"))
+
+
 def entity_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with the same key, ts and data count once, at their smallest record_seq. Notes that say nothing stay, as they
     change nothing; a filter on what is parsed would be pushed below the aggregation and parse every row twice."""
@@ -107,6 +114,7 @@ QUERIES = {
     "p2_first_deliveries": p2_first_deliveries,
     "p3_found": p3_found,
     "p3_records": p3_records,
+    "p3_files": p3_files,
     "p4_found": p4_found,
     "p4_versions": p4_versions,
     "p4_snapshots": p4_snapshots,

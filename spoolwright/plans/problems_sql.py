@@ -36,6 +36,8 @@ FROM ranked WHERE nth = 1 GROUP BY table_name, id_kind, id_int, id_str""",
     "p2_first_deliveries": FIRST + "SELECT record_seq, table_name, ts FROM ranked WHERE nth = 1",
     "p3_found": COUNTED + """SELECT DISTINCT table_name, file_no FROM counted JOIN sums USING (file_no)
 WHERE nth = 1 AND valid_bytes < 8192""",
+    # tables of less than the target size lie in one file each
+    "p3_files": COUNTED + "SELECT table_name, count(DISTINCT file_no) AS files_before, 1::BIGINT AS files_after FROM counted WHERE nth = 1 GROUP BY table_name",
     "p3_records": COUNTED + "SELECT table_name, file_no, pos, octet_length(log_bytes)::INT AS n_bytes FROM counted WHERE nth = 1",
 }
 

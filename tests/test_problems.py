@@ -10,6 +10,7 @@ from spoolwright.operators import compaction as cp
 from spoolwright.operators import deliveries as dl
 from spoolwright.operators import history as hs
 from spoolwright.operators import numbering as nb
+from spoolwright.plans.adapters import scattered
 from spoolwright.operators.tree_aggregate import rounds, tree_aggregate
 from spoolwright.schema import KEY
 from spoolwright.session import conf, fresh_path
@@ -112,7 +113,7 @@ SOURCE = "file_no bigint, pos int, table_name string, id_kind tinyint, id_int in
 def consolidate(spark, rows, files, **how):
     r = spark.createDataFrame([(*x, "x", "x") for x in rows], SOURCE)
     f = spark.createDataFrame(files, "file_no bigint, file_path string, valid_bytes int")
-    return cp.consolidate_spool(r, f, fresh_path(spark, "spool"), **how)
+    return cp.consolidate_spool(spark, scattered(r, fresh_path(spark, "small")), f, fresh_path(spark, "spool"), **how)
 
 
 def test_consolidation(spark):
@@ -159,17 +160,42 @@ def test_packing_of_files(spark, tmp_path):
 def test_packing_is_verified(spark, tmp_path, monkeypatch):
     src, dst = f"file://{tmp_path}/src", f"file://{tmp_path}/dst"
     spark.range(10).write.parquet(src)
-    seen = iter([{0: (10, 1, 1)}, {0: (10, 2, 1)}])
-    monkeypatch.setattr(cp, "fingerprints", lambda df, by: next(seen))
+    monkeypatch.setattr(cp, "fingerprint", lambda df: (10, 2, 1))
     with pytest.raises(cp.VerificationError):
         cp.pack_small_files(spark, src, dst)
-    assert not (tmp_path / "dst").exists() and spark.read.parquet(src).count() == 10
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["src"] and spark.read.parquet(src).count() == 10
+
+
+def test_packing_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cp, "AT_ONCE", 2)
+    src, dst = f"file://{tmp_path}/src", f"file://{tmp_path}/dst"
+    spark.range(60).select("id", (F.col("id") % 5).alias("p")).repartition(6).write.partitionBy("p").parquet(src)
+    spark.range(3).write.parquet(f"{dst}/p=old")
+    check, turn = cp._write_checked, iter(range(9))
+
+    def third(*a):
+        check(*a)
+        if next(turn) == 2:
+            raise cp.VerificationError("the third group")
+
+    monkeypatch.setattr(cp, "_write_checked", third)
+    with pytest.raises(cp.VerificationError):
+        cp.pack_small_files(spark, src, dst)
+    assert [p.name for p in (tmp_path / "dst").iterdir()] == ["p=old"]
+    # a run that ended between the renames: the old files are put back, then replaced, and folders no longer there go
+    (tmp_path / "dst").rename(tmp_path / "dst_replaced")
+    monkeypatch.setattr(cp, "_write_checked", check)
+    assert set(cp.pack_small_files(spark, src, dst)) == {f"p={k}" for k in range(5)}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["dst", "src"]
+    assert spark.read.parquet(dst).count() == 60 and not (tmp_path / "dst" / "p=old").exists()
 
 
 def test_fingerprint(spark):
     a = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, `b.c` string")
     assert cp.fingerprint(a) == cp.fingerprint(a.repartition(3)) != cp.fingerprint(a.distinct())
     assert cp.fingerprint(a.limit(0)) == (0, 0, 0)
+    b = spark.createDataFrame([(None, "a"), ("x", None)], "p string, q string")
+    assert cp.fingerprint(b) != cp.fingerprint(b.select(F.col("q").alias("p"), F.col("p").alias("q")))
 
 
 # ---- history
