@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..session import broadcast_if_small, conf
+from ..storage import fs_of as _fs
 
 TARGET_BYTES = 128 << 20
 #: What opening a file costs, as bytes read in that time.
@@ -30,12 +31,6 @@ class VerificationError(RuntimeError):
     """What was written is not what was read."""
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def file_sizes(spark: SparkSession, path: str) -> list[int]:
     """Sizes of the data files directly in a folder."""
     fs, p = _fs(spark, path)

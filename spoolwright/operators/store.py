@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 from ..functions.text import digest
 from ..schema import IDENTITY, LOG_SCHEMA, RECORD_SCHEMA, parse_id_literal, with_id_key
 from ..session import broadcast_if_small, materialise
+from ..storage import fs_of as _fs
 from . import segments as seg
-from .compaction import _fs, fingerprint
+from .compaction import fingerprint
 from .deliveries import first_deliveries
 
 

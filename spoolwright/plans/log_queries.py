@@ -11,11 +11,11 @@ from .. import arrays
 from ..functions import dates, hashing, ints, strings
 from ..functions.text import log_text
 from ..operators import segments as seg
-from ..operators.compaction import _fs
 from ..operators.deliveries import first_deliveries
 from ..operators.store import LogStore, appendable, as_json, get_across
 from ..schema import IDENTITY, parse_id
 from ..session import fresh_path, materialise, table
+from ..storage import fs_of as _fs
 from ..sources import client, files
 from ..streaming.ingest import added_and_duplicates, convert, update
 from . import adapters

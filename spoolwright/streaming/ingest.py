@@ -7,10 +7,10 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.compaction import _fs
 from ..operators.store import LogStore
 from ..sources.files import SAVED_GLOB, decode_saved
 from ..session import fresh_path
+from ..storage import fs_of as _fs
 
 log = logging.getLogger(__name__)
 #: Bytes of files in a batch, about; files stay whole.
