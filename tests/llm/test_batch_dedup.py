@@ -6,7 +6,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from spoolwright.llm import batch_dedup as bd
+from spoolwright.session import conf
 
 SCHEMA = "record_seq bigint, table_name string, id_kind tinyint, id_int int, id_str string, data binary, note string, k string, seq int, bucket string"
 
@@ -62,7 +65,7 @@ def test_empty(spark):
     assert run(spark, [(1, "a", 1, 1, None, b"x y")], [])[0] == set()
 
 
-@pytest.mark.parametrize("block_rows", [20_000, 7])
+@pytest.mark.parametrize("block_rows", [20_000, 30])
 def test_hot_key_and_chains(spark, block_rows):
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(60)]
@@ -88,33 +91,111 @@ def test_hot_key_and_chains(spark, block_rows):
     assert got == want and len(got) > 200
 
 
+def coded(texts):
+    """Parts of (key, words) as numbers, one after another, and how many each has."""
+    codes = [ord(k) * 1000 + ord(w) for k, ws in texts for w in sorted(ws)]
+    return np.array(codes, np.int64), np.array([len(ws) for _, ws in texts], np.int64)
+
+
+TEXTS = st.lists(st.tuples(st.sampled_from("ab"), st.sets(st.sampled_from("pqrstuvwxyz"), min_size=1)), max_size=12)
+
+
 @settings(max_examples=60, deadline=None)
-@given(
-    st.lists(st.tuples(st.sampled_from([b"a", b"b"]), st.sets(st.sampled_from("pqrstuvwxyz"), min_size=1)), max_size=12),
-    st.lists(st.tuples(st.sampled_from([b"a", b"b"]), st.sets(st.sampled_from("pqrstuvwxyz"), min_size=1)), max_size=12),
-    st.sampled_from([Fraction(7, 10), Fraction(1, 2), Fraction(1), Fraction(1, 10)]),
-)
-def test_pairs_are_all_pairs(old, new, least):
-    pairs = list(bd.similar_pairs([k for k, _ in old], [" ".join(sorted(w)) for _, w in old], [k for k, _ in new], [" ".join(sorted(w)) for _, w in new], least))
-    got = [(int(a), int(b)) for x, y in pairs for a, b in zip(x, y)]
+@given(TEXTS, TEXTS, st.sampled_from([Fraction(7, 10), Fraction(1, 2), Fraction(1), Fraction(1, 10)]), st.booleans())
+def test_pairs_are_all_pairs(old, new, least, twice):
+    codes, lens = coded(old)
+    rows = np.repeat(np.arange(len(lens)), lens)
+    q, q_lens = coded(new)
+    shared = np.isin(codes, q)
+    rows, codes = rows[shared], codes[shared]
+    if twice:  # appended twice
+        rows, codes = np.concatenate((rows, rows)), np.concatenate((codes, codes))
+    got = [(int(a), int(b)) for x, y in bd.similar_pairs(rows, codes, lens, q, q_lens, least) for a, b in zip(x, y)]
     want = {(i, j) for i, (k, v) in enumerate(new) for j, (l, w) in enumerate(old) if k == l and len(v & w) >= least * len(v | w)}
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.sets(st.sampled_from("pqrstuvw"), min_size=1)), max_size=40))
+def test_settled_as_one_by_one(texts):
+    few, bd.FEW = bd.FEW, 3
+    try:
+        got = bd.settle(np.arange(len(texts)) * 10, *coded(texts))
+    finally:
+        bd.FEW = few
+    accepted = []
+    for i, (k, v) in enumerate(texts):
+        like = [j for j in accepted if texts[j][0] == k and 10 * len(v & texts[j][1]) >= 7 * len(v | texts[j][1])]
+        assert got[i] == (min(like) * 10 if like else bd._NONE)
+        if not like:
+            accepted.append(i)
+
+
+def test_many_near_copies_make_few_pairs(monkeypatch):
+    made = []
+    pairs = bd.similar_pairs
+
+    def counted(*a, **k):
+        for x, y in pairs(*a, **k):
+            made.append(len(x))
+            yield x, y
+
+    monkeypatch.setattr(bd, "similar_pairs", counted)
+    n = 10_000
+    codes = np.array([c for i in range(n) for c in [*range(1, 20), 1000 + i]], np.int64)
+    best = bd.settle(np.arange(n), codes, np.full(n, 20))
+    assert (best[1:] == 0).all() and sum(made) < 3 * n
+
+
 def test_only_buckets_asked_for_are_read(spark, monkeypatch):
     read = []
-    table = bd.AcceptedIndex.table
+    held = bd.AcceptedIndex.held
 
     def seen(self, *a):
-        read.append(table(self, *a))
+        read.append(held(self, *a))
         return read[-1]
 
-    monkeypatch.setattr(bd.AcceptedIndex, "table", seen)
+    monkeypatch.setattr(bd.AcceptedIndex, "held", seen)
     history = [(i, f"t{i}", 1, 1, None, b"words of message %d" % i) for i in range(60)]
     got, want, _ = run(spark, history, [(100, "t7", 1, 1, None, b"7 message of words")], bucket_rows=3)
     assert got == want == {(7, 100)}
-    assert 0 < read[0].count() < 20  # 20 buckets of about three
-    assert "SelectedBucketsCount: 1 out of 20" in read[0].groupBy("bucket").count()._jdf.queryExecution().toString()
+    (t,) = read[0]
+    assert 0 < t.count() < 20  # 20 buckets of about three
+    assert "SelectedBucketsCount: 1 out of 20" in t.groupBy("bucket").count()._jdf.queryExecution().toString()
+
+
+def test_the_index_lies_still_and_holds_no_texts(spark, monkeypatch):
+    history = [(i, f"t{i % 9}", 1, 1, None, b"words of message %d" % i) for i in range(200)]
+    index = bd.AcceptedIndex.build(frame(spark, history), bucket_rows=10)
+    (t,) = index.held()
+    assert t.columns == ["bucket", "h", "seq", "parts"]
+    wanted = frame(spark, history).select(F.col("id_int").alias("bucket"), F.col("record_seq").alias("p")).hint("shuffle_hash")
+    with conf(spark, spark__sql__requireAllClusterKeysForCoPartition=False, spark__sql__adaptive__enabled=False):
+        plan = t.select("bucket", F.explode("parts").alias("p")).join(wanted, ["bucket", "p"], "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(bucket") == 1 and "ShuffledHashJoin" in plan
+
+
+def test_another_session_opens_the_index(spark, monkeypatch):
+    history = [(i, "t", 1, 1, None, b"words of message %d" % i) for i in range(20)]
+    index = bd.AcceptedIndex.build(frame(spark, history), block_rows=7, bucket_rows=5)
+    bd.check_batch(index, frame(spark, [(100, "u", 1, 1, None, b"a b c d")]), 7, 5)
+    monkeypatch.setattr(bd, "contents", lambda df, collapse=False, of=bd.contents: of(df) if not collapse else pytest.fail("texts were read"))
+    again = bd.AcceptedIndex.open(spark, index.path)
+    rows = [(200, "u", 1, 1, None, b"d c b a"), (201, "t", 1, 1, None, b"message of words 13"), (202, "t", 1, 1, None, b"quite another")]
+    assert {tuple(r) for r in bd.check_batch(again, frame(spark, rows), 7, 5).collect()} == {(100, 200), (13, 201)}
+    # a batch that broke off behind its append is checked again, with the same answers
+    third = bd.AcceptedIndex.open(spark, index.path)
+    assert {tuple(r) for r in bd.check_batch(third, frame(spark, rows), 7, 5).collect()} == {(100, 200), (13, 201)}
+    with pytest.raises(FileNotFoundError):
+        bd.AcceptedIndex.open(spark, index.path + "-none")
+
+
+def test_smaller_numbers_of_new_messages(spark):
+    """An accepted message of the batch can be the least, though the history holds one that is alike."""
+    history = [(500, "a", 1, 1, None, b"p q r s t u v w x y")]
+    batch = [(1, "a", 1, 1, None, b"p q r s t u v 1 2"), (2, "a", 1, 1, None, b"p q r s t u v w 1")]
+    got, want, _ = run(spark, history, batch)
+    assert got == want == {(1, 2)}
 
 
 def test_the_oldest_alike_is_not_the_full_copy(spark):
@@ -131,10 +212,21 @@ def test_keys_that_grow_get_blocks(spark):
     for rows in batches:
         got |= {(r.accepted_seq, r.new_seq) for r in bd.check_batch(index, frame(spark, rows), 10, 10).collect()}
     assert got == brute.repeats([], [dict(zip(named, r)) for rows in batches for r in rows])
-    sizes = [r["count"] for r in index.table().groupBy("k", "bucket").count().collect()]
+    sizes = [r["count"] for t in index.held() for r in t.groupBy("bucket").count().collect()]
     assert sum(sizes) > 20 and max(sizes) <= 14  # spread by hash, ten or fewer on average
 
 
+def test_all_keys_that_grow_get_buckets(spark):
+    index = bd.AcceptedIndex.build(frame(spark, []), block_rows=10, bucket_rows=10)
+    for b in range(1, 4):
+        bd.check_batch(index, frame(spark, [(1000 * b + i, f"k{b}-{i}", 1, 1, None, b"m%d" % i) for i in range(100)]), 10, 10)
+    assert len(index.layout.cold) > 1 and len(index.tables) > 1
+    sizes = [r["count"] for t in index.held() for r in t.groupBy("bucket").count().collect()]
+    assert sum(sizes) == 300 and max(sizes) <= 40
+    again = [(9000 + b, f"k{b}-7", 1, 1, None, b"m7") for b in range(1, 4)]
+    assert {tuple(r) for r in bd.check_batch(index, frame(spark, again), 10, 10).collect()} == {(1000 * b + 7, 9000 + b) for b in range(1, 4)}
+
+
 def test_batches(spark, sf):
     from spoolwright.llm.queries import p5_batches
 
