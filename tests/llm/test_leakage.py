@@ -3,6 +3,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from spoolwright.llm import leakage as lk
 from spoolwright.llm.words import plain_words
@@ -62,7 +63,8 @@ def test_cases(spark):
     got = [(r.item_id, r.doc_id) for r in lk.leaks(d, i).collect()]
     assert set(got) == brute(docs, items) == {(k, n) for k in (1, 5) for n in (1, 2, 4, 8)} | {(2, 5), (6, 9)}
     assert len(got) == 12  # document 1 occurs twice, and so do its pairs
-    assert sorted(got) == sorted((r.item_id, r.doc_id) for r in lk.leaks(d, i, block_words=1).collect())
+    # a filter that lets nearly everything pass changes nothing
+    assert sorted(got) == sorted((r.item_id, r.doc_id) for r in lk.leaks(d, i, filter_bits=15).collect())
     assert lk.leaks(d.limit(0), i).collect() == [] and lk.leaks(d, i.limit(0)).collect() == []
 
 
@@ -92,11 +94,51 @@ def test_tiles(a, b, least):
     assert longest_common(free(a, seen_a), free(b, seen_b)) < least
 
 
-def test_many_repeats(monkeypatch):
-    monkeypatch.setattr(lk, "MANY", 10)
-    x, y = np.array([1, 1, 1, 2, 2, 2] * 10, np.uint64), np.array([2, 2, 1, 1] * 30, np.uint64)
-    seen = sum(n for _, _, n in lk.tiles(x, y, 2))
-    assert seen >= 40
+def tiles_one_by_one(a, b, least):
+    """Greedy string tiling by looking at everything anew for each tile."""
+    out, used_a, used_b = [], set(), set()
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                    n += 1
+                best = min(best, (-n, i, j))
+        n, i, j = best
+        if -n < least:
+            return out
+        out.append((i, j, -n))
+        used_a |= set(range(i, i - n))
+        used_b |= set(range(j, j - n))
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(1, 2), max_size=40), st.lists(st.integers(1, 2), max_size=50), st.integers(1, 6), st.sampled_from([2_000_000, 10, 1]))
+def test_longest_first_whatever_is_looked_at_in_one_go(a, b, least, many):
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    old, lk.MANY = lk.MANY, many
+    try:
+        got = lk.tiles(x, y, least)
+    finally:
+        lk.MANY = old
+    want = tiles_one_by_one(a, b, least)
+    assert sorted(n for _, _, n in got) == sorted(n for _, _, n in want) and got == want
+
+
+def test_equal_words_are_one_tile():
+    x = np.full(3000, 7, np.uint64)
+    assert lk.tiles(x, x, 13) == [(0, 0, 3000)]
+    assert lk.tiles(x, np.full(7000, 7, np.uint64), 13)[0] == (0, 0, 3000)
+
+
+def test_items_stay_off_the_driver(spark):
+    """What comes to the driver is the filter, as large for ten times the items."""
+    seeds = spark.range(1000).select(F.xxhash64("id").alias("seed"))
+    few, many = lk.seed_filter(seeds.limit(100), 20), lk.seed_filter(seeds, 20)
+    assert [m.nbytes for m in few] == [m.nbytes for m in many] == [1 << 17] * 2
+    h = np.array([r[0] for r in seeds.collect()], np.int64).view(np.uint64)
+    assert lk._passing(h, many, 20).all() and lk._passing(h ^ np.uint64(0x5A5A5A5A5A5A5A5A), many, 20).sum() < 30
 
 
 def test_window_hashes():
