@@ -1,14 +1,17 @@
 """The store: append-only, deduplicating, keyed log records in Parquet.
 
-``records/segment=N`` holds the records, within a segment sorted by table and identifier, with statistics and bloom
-filters for point lookups; ``segments`` holds a row of statistics for each segment. What a reader needs is derived from
-these; there is no other index. Reading takes no lock, writing takes one.
+``records/write=W/segment=N`` holds what a write put into a segment, sorted by table and identifier, with statistics and
+bloom filters for point lookups. A manifest tells which of these folders make up each segment, and each segment's
+statistics. A write goes to a folder of its own and counts from the one rename on that puts a new manifest in place; if
+it breaks off anywhere before, readers and later writers see what was there, and the next writer removes what is left
+of it. There is no other index. Reading takes no lock, writing takes a lease.
 """
 
 from __future__ import annotations
 
-import time
+import uuid
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +19,11 @@ from pyspark.sql import types as T
 
 from ..functions.text import digest
 from ..schema import IDENTITY, LOG_SCHEMA, RECORD_SCHEMA, parse_id_literal, with_id_key
-from ..session import broadcast_if_small, materialise
+from ..session import broadcast_if_small, materialise, scratch
+from ..storage import Lease, Manifest
 from ..storage import fs_of as _fs
 from . import segments as seg
-from .compaction import fingerprint
+from .compaction import VerificationError, _write_checked
 from .deliveries import first_deliveries
 
 
@@ -34,12 +38,40 @@ SEGMENTS = "segment int, read_only boolean, archived boolean, head_version int,
 
 
 _COLUMNS = [c.split()[0] for c in SEGMENTS.split(", ")]
+DAY = 86_400_000
+#: The day of records without a time.
+NO_DAY = -(2**31)
+#: Runs of days up to which they are pushed to the scan as ranges of time.
+RANGES = 200
+
+
+def _day():
+    return F.coalesce(F.floor(F.col("timestamp") / DAY), F.lit(NO_DAY)).cast("bigint")
+
+
+def _of_days(days: list[int]):
+    """A filter for records of some days: ranges of time, which the scan can use, and the days themselves."""
+    runs: list[list[int]] = []
+    for d in sorted(days):
+        if d == NO_DAY:
+            continue
+        if runs and runs[-1][1] + 1 == d:
+            runs[-1][1] = d
+        else:
+            runs.append([d, d])
+    at = F.col("timestamp")
+    where = [(at >= a * DAY) & (at < (b + 1) * DAY) for a, b in runs]
+    if len(where) > RANGES:
+        where = [_day().isin([d for d in days if d != NO_DAY])]
+    if NO_DAY in days:
+        where.append(at.isNull())
+    return reduce(lambda x, y: x | y, where)
 
 
 def _no_stats(segment: int) -> dict:
     return {
         "segment": segment, "read_only": False, "archived": False, "head_version": seg.VERSION, "records": 0, "hashes": 0,
-        "min_timestamp": seg.NO_MIN, "max_timestamp": seg.NO_MAX, "total_bytes": 0,
+        "min_timestamp": seg.NO_MIN, "max_timestamp": seg.NO_MAX, "total_bytes": 0, "days": [], "writes": [],
     }
 
 
@@ -49,9 +81,14 @@ def identity_digest():
 
 
 class LogStore:
-    def __init__(self, spark: SparkSession, path: str, max_records: int = seg.MAX_RECORDS, max_bytes: int = seg.MAX_BYTES, lock_wait: float = 60.0):
+    def __init__(
+        self, spark: SparkSession, path: str, max_records: int = seg.MAX_RECORDS, max_bytes: int = seg.MAX_BYTES, lock_wait: float = 60.0, lease: float = 120.0
+    ):
+        """A writer waits ``lock_wait`` seconds for another one; a lock whose holder hasn't been heard of for ``lease``
+        seconds is taken over."""
         self.spark, self.path = spark, path.rstrip("/")
-        self.max_records, self.max_bytes, self.lock_wait = max_records, max_bytes, lock_wait
+        self.max_records, self.max_bytes, self.lock_wait, self.lease = max_records, max_bytes, lock_wait, lease
+        self._manifest = Manifest(spark, f"{self.path}/manifest")
 
     # -- places
 
@@ -63,65 +100,89 @@ class LogStore:
         fs, p = _fs(self.spark, self.path)
         fs.mkdirs(p)
 
-    def _lock(self):
-        """The one writer's lock, a file; taken by creating it."""
+    def _lock(self) -> Lease:
         self.create()
-        fs, p = _fs(self.spark, f"{self.path}/db.lock")
-        until = time.time() + self.lock_wait
-        while True:
-            try:
-                fs.create(p, False).close()
-                return lambda: fs.delete(p, False)
-            except Exception as e:  # the other holder's file
-                if time.time() >= until:
-                    raise StoreError(f"{self.path} is in use: {p}") from e
-                time.sleep(min(0.5, max(0.01, until - time.time())))
+        lease = Lease(self.spark, f"{self.path}/db.lock", self.lease)
+        if not lease.take(self.lock_wait):
+            raise StoreError(f"{self.path} is in use: {lease.path}")
+        return lease
+
+    def _state(self) -> dict:
+        """``segments``: statistics by segment, with the ``days`` its records are of and the ``writes`` that hold them;
+        ``writes``: the segments that each write went to; ``old``: writes that nothing refers to any more."""
+        state = self._manifest.read()
+        if state is None:
+            if self._exists("records"):
+                raise StoreError(f"{self.path} has records and no manifest; rebuild it")
+            state = {"segments": [], "writes": {}, "old": []}
+        return state
+
+    def _read(self, state: dict) -> DataFrame:
+        live: dict[str, set[int]] = {}
+        for r in state["segments"]:
+            for w in r["writes"]:
+                live.setdefault(w, set()).add(r["segment"])
+        if not live:
+            return self.spark.createDataFrame([], STORED)
+        at = f"{self.path}/records"
+        schema = T.StructType([*STORED.fields, T.StructField("write", T.StringType())])
+        rows = self.spark.read.schema(schema).option("basePath", at).parquet(*[f"{at}/write={w}" for w in sorted(live)])
+        for w, segments in live.items():
+            if segments != set(state["writes"][w]):  # others of it were written anew
+                rows = rows.where((F.col("write") != w) | F.col("segment").isin(sorted(segments)))
+        return rows.drop("write")
 
     def records(self) -> DataFrame:
-        if not self._exists("records"):
-            return self.spark.createDataFrame([], STORED)
-        return self.spark.read.schema(STORED).parquet(f"{self.path}/records")
+        return self._read(self._state())
 
     def segments(self) -> DataFrame:
-        if not self._exists("segments"):
-            return self.spark.createDataFrame([], SEGMENTS)
-        return self.spark.read.schema(SEGMENTS).parquet(f"{self.path}/segments")
-
-    def _write_segments(self, rows: list[dict]) -> None:
-        """Replaces the statistics, a row for each segment of up to 2 GB: written beside, then moved into place."""
-        rows = self.spark.createDataFrame([tuple(r[c] for c in _COLUMNS) for r in rows], SEGMENTS)
-        new = f"{self.path}/segments_new"
-        rows.coalesce(1).write.mode("overwrite").parquet(new)
-        fs, p = _fs(self.spark, f"{self.path}/segments")
-        fs.delete(p, True)
-        fs.rename(_fs(self.spark, new)[1], p)
+        rows = [tuple(r[c] for c in _COLUMNS) for r in self._state()["segments"]]  # a row for each segment of up to 2 GB
+        return self.spark.createDataFrame(rows, SEGMENTS)
 
     # -- writing
 
+    def _begin(self, lease: Lease) -> dict:
+        """The state to go on from. Removes what writes that broke off have left, and what was replaced a write ago."""
+        lease.check()
+        state = self._state()
+        fs, p = _fs(self.spark, f"{self.path}/records")
+        if fs.exists(p):
+            for f in fs.listStatus(p):
+                if f.getPath().getName().removeprefix("write=") not in state["writes"]:
+                    fs.delete(f.getPath(), True)
+        return state
+
+    def _commit(self, lease: Lease, state: dict) -> None:
+        live = {w for r in state["segments"] for w in r["writes"]}
+        # what is replaced stays for readers until the write after this one
+        state["writes"] = {w: s for w, s in state["writes"].items() if w not in state["old"]}
+        state["old"] = [w for w in state["writes"] if w not in live]
+        state["segments"].sort(key=lambda r: r["segment"])
+        lease.check()
+        self._manifest.write(state)
+
     def add_records(self, batch: DataFrame, order: Sequence[str] = ("path", "pos")) -> dict[str, int]:
         """Adds what is new, in the order of ``order``; gives counts of seen, added and duplicates. Of equal records
         the first counts; equal are those with the same table, identifier, time and data."""
-        unlock = self._lock()
+        lease = self._lock()
         try:
-            return self._add(batch, list(order))
+            with scratch(self.spark):
+                return self._add(batch, list(order), lease)
         finally:
-            unlock()
+            lease.release()
 
-    def _add(self, batch: DataFrame, order: list[str]) -> dict[str, int]:
+    def _add(self, batch: DataFrame, order: list[str], lease: Lease) -> dict[str, int]:
+        state = self._begin(lease)
         batch = with_id_key(batch).withColumn("digest", identity_digest())
         cols = [f.name for f in RECORD_SCHEMA.fields] + ["id_key", "digest"]
         batch = materialise(batch.select(*cols, *order), "batch")
-        span = batch.agg(F.count(F.lit(1)), F.min("timestamp"), F.max("timestamp")).first()
-        if not span[0]:
+        per_day = {r[0]: r[1] for r in batch.groupBy(_day()).agg(F.count(F.lit(1))).collect()}  # a row for each day
+        seen = sum(per_day.values())
+        if not seen:
             return {"seen": 0, "added": 0, "duplicates": 0}
-        self._recover()
-        known = {r["segment"]: r.asDict() for r in self.segments().collect()}
-        first = first_deliveries(batch, [F.col("digest")], F.col(order[0]), [F.col(c) for c in order[1:]], [*cols, *order])
-        # only segments whose times meet the batch's can hold a duplicate; within them only those times
-        meet = [n for n, s in known.items() if s["min_timestamp"] <= span[2] and s["max_timestamp"] >= span[1]]
-        if meet:
-            stored = self.records().where(F.col("segment").isin(meet) & F.col("timestamp").between(span[1], span[2])).select("digest")
-            first = first.join(stored, "digest", "left_anti")
+        known = {r["segment"]: r for r in state["segments"]}
+        first = first_deliveries(batch, ["digest"], F.col(order[0]), [F.col(c) for c in order[1:]], [*cols, *order])
+        first = self._unknown(materialise(first, "first"), state, sorted(per_day))
         last = known[max(known)] if known else None
         at, n, b = (1, 0, seg.HEAD_BYTES) if last is None else (last["segment"], last["records"], last["total_bytes"] + seg.HEAD_BYTES)
         if last and (last["read_only"] or last["archived"] or n >= self.max_records):
@@ -129,42 +190,43 @@ class LogStore:
         rows = seg.roll_segments(first, order, self.max_records, self.max_bytes, at, n, b)
         start = sum(s["records"] for s in known.values())
         # a row for each segment that gets something
-        new = rows.groupBy("segment").agg(F.count(F.lit(1)), F.min("timestamp"), F.max("timestamp"), F.sum("size")).collect()
+        new = rows.groupBy("segment").agg(F.count(F.lit(1)), F.min("timestamp"), F.max("timestamp"), F.sum("size"), F.collect_set(_day())).collect()
         if new:
-            self._mark(True)
+            write = f"w{uuid.uuid4().hex}"
             out = rows.withColumn("seq", F.col("n") + start).select(*[f.name for f in STORED.fields])
             # a segment is at most as large as one task's file may be; sorted for pruning by table and identifier
-            w = out.repartition("segment").sortWithinPartitions("table_name", "id_key", "seq").write.mode("append").partitionBy("segment")
+            w = out.repartition("segment").sortWithinPartitions("table_name", "id_key", "seq").write.partitionBy("segment")
             # ids of high cardinality get a bloom filter; a dictionary would keep it from being written
-            w.option("parquet.bloom.filter.enabled#id_key", "true").option("parquet.enable.dictionary#id_key", "false").parquet(f"{self.path}/records")
-            for n, k, lo, hi, size in new:
+            w.option("parquet.bloom.filter.enabled#id_key", "true").option("parquet.enable.dictionary#id_key", "false").parquet(f"{self.path}/records/write={write}")
+            for n, k, lo, hi, size, days in new:
                 s = known.setdefault(n, _no_stats(n))
                 s["records"] += k
                 s["hashes"] += k  # all records are distinct: what isn't was left out
-                s["min_timestamp"], s["max_timestamp"] = min(s["min_timestamp"], lo), max(s["max_timestamp"], hi) if s["records"] > k else hi
+                if lo is not None:
+                    s["min_timestamp"], s["max_timestamp"] = min(s["min_timestamp"], lo), hi if s["min_timestamp"] == seg.NO_MIN else max(s["max_timestamp"], hi)
                 s["total_bytes"] += size
                 s["read_only"] = s["records"] >= self.max_records
-            self._write_segments(list(known.values()))
-            self._mark(False)
+                s["days"] = sorted({*s["days"], *days})
+                s["writes"] = [*s["writes"], write]
+            state["segments"] = list(known.values())
+            state["writes"][write] = [r[0] for r in new]
+            self._commit(lease, state)
         added = sum(r[1] for r in new)
-        return {"seen": span[0], "added": added, "duplicates": span[0] - added}
-
-    def _mark(self, on: bool) -> None:
-        """The marker stands while records may be ahead of the statistics."""
-        fs, p = _fs(self.spark, f"{self.path}/_writing")
-        fs.create(p, True).close() if on else fs.delete(p, False)
-
-    def _recover(self) -> None:
-        """Makes statistics agree with the records if a writer died between the two."""
-        if not self._exists("_writing"):
-            return
-        bad = [r["segment"] for r in self.fsck().where(~F.col("ok")).collect()]
-        if bad:
-            keep = [r.asDict() for r in self.segments().where(~F.col("segment").isin(bad)).collect()]
-            for r in seg.stats(self.records().where(F.col("segment").isin(bad))).collect():
-                keep.append(_no_stats(r["segment"]) | r.asDict() | {"read_only": r["records"] >= self.max_records})
-            self._write_segments(keep)
-        self._mark(False)
+        return {"seen": seen, "added": added, "duplicates": seen - added}
+
+    def _stored(self, state: dict, days: list[int]) -> DataFrame:
+        """Digests of the stored records of some days. Equal records are of the same day, so only segments with records
+        of the batch's days are read, whatever lies between them: a late record adds its day alone."""
+        asked = set(days)
+        meet = [r["segment"] for r in state["segments"] if not asked.isdisjoint(r["days"])]
+        return self._read(state).where(F.col("segment").isin(meet) & _of_days(days)).select("digest")
+
+    def _unknown(self, first: DataFrame, state: dict, days: list[int]) -> DataFrame:
+        """Records that the store lacks. What it has is narrowed down to the batch's before anything else; a small batch's
+        digests go to where the store lies."""
+        stored = self._stored(state, days)
+        again = materialise(stored.join(broadcast_if_small(first.select("digest")), "digest", "left_semi"), "again")
+        return first.join(again, "digest", "left_anti")
 
     # -- reading
 
@@ -212,30 +274,74 @@ class LogStore:
     # -- upkeep
 
     def archive(self, compression: str = "gzip") -> list[int]:
-        """Rewrites each segment that isn't archived with a stronger compression, compares, and replaces it. Later
-        records begin a new segment. Gives the segments."""
-        unlock = self._lock()
+        """Rewrites each segment that isn't archived with a stronger compression and compares; all replace the old ones
+        at once. Later records begin a new segment. Gives the segments."""
+        lease = self._lock()
         try:
-            self._recover()
-            known = [r.asDict() for r in self.segments().collect()]
-            todo = [s["segment"] for s in known if not s["archived"] and not s["read_only"]] + [s["segment"] for s in known if s["read_only"] and not s["archived"]]
-            for n in todo:
-                at, new = f"{self.path}/records/segment={n}", f"{self.path}/_archived_{n}"
-                rows = self.spark.read.parquet(at)
-                rows.coalesce(1).sortWithinPartitions("table_name", "id_key", "seq").write.mode("overwrite").option("compression", compression).parquet(new)
-                if fingerprint(rows) != fingerprint(self.spark.read.parquet(new)):
-                    raise StoreError(f"segment {n} could not be rewritten")
-                fs, p = _fs(self.spark, at)
-                fs.delete(p, True)
-                fs.rename(_fs(self.spark, new)[1], p)
-            for s in known:
-                s["archived"] = s["archived"] or s["segment"] in todo
-                s["read_only"] = True if s["archived"] else s["read_only"]
+            state = self._begin(lease)
+            todo = sorted(r["segment"] for r in state["segments"] if not r["archived"])
             if todo:
-                self._write_segments(known)
-            return sorted(todo)
+                self._rewrite(lease, state, todo, compression)
+            return todo
+        finally:
+            lease.release()
+
+    def _rewrite(self, lease: Lease, state: dict, todo: list[int], compression: str) -> None:
+        write = f"w{uuid.uuid4().hex}"
+        for n in todo:
+            at = f"{self.path}/records/write={write}/segment={n}"
+            rows = self._read(state).where(F.col("segment") == n).drop("segment")
+            schema = rows.schema
+
+            def put(d: DataFrame, at: str = at) -> None:
+                d.coalesce(1).sortWithinPartitions("table_name", "id_key", "seq").write.option("compression", compression).parquet(at)
+
+            try:
+                _write_checked(rows, lambda at=at, schema=schema: self.spark.read.schema(schema).parquet(at), put, f"segment {n}")
+            except VerificationError as e:
+                raise StoreError(str(e)) from e
+        for r in state["segments"]:
+            if r["segment"] in todo:
+                r["archived"], r["read_only"], r["writes"] = True, True, [write]
+        state["writes"][write] = todo
+        self._commit(lease, state)
+
+    def rebuild(self) -> int:
+        """Makes statistics anew from the records; without a manifest, the store from all folders of records that were
+        written to their end: of what is in several, as after archiving, one is kept. Gives the number of records."""
+        lease = self._lock()
+        try:
+            fs, p = _fs(self.spark, f"{self.path}/records")
+            if self._manifest.versions():
+                state = self._begin(lease)
+                kept = {r["segment"]: r for r in state["segments"]}
+                rows = self._read(state)
+            elif fs.exists(p):
+                whole = [f.getPath().toString() for f in fs.listStatus(p) if fs.exists(_fs(self.spark, f"{f.getPath()}/_SUCCESS")[1]) or any(fs.exists(_fs(self.spark, f"{g.getPath()}/_SUCCESS")[1]) for g in fs.listStatus(f.getPath()))]
+                state, kept, write = {"segments": [], "writes": {}, "old": []}, {}, f"w{uuid.uuid4().hex}"
+                read = [self.spark.read.schema(STORED).parquet(w) for w in whole]
+                rows = reduce(DataFrame.unionByName, read) if read else self.spark.createDataFrame([], STORED)
+                names = [f.name for f in STORED.fields]
+                rows = first_deliveries(rows, ["digest"], F.col("seq"), [], names)
+                out = rows.repartition("segment").sortWithinPartitions("table_name", "id_key", "seq")
+                out.write.partitionBy("segment").parquet(f"{self.path}/records/write={write}")
+                rows = self.spark.read.schema(STORED).parquet(f"{self.path}/records/write={write}")
+            else:
+                return 0
+            days = rows.groupBy("segment").agg(F.collect_set(_day()).alias("days"))
+            found = [r.asDict() for r in seg.stats(rows).join(days, "segment").collect()]  # a row for each segment
+            if not self._manifest.versions():
+                state["writes"] = {write: [r["segment"] for r in found]}
+            state["segments"] = []
+            for r in found:
+                old = kept.get(r["segment"], _no_stats(r["segment"]) | {"writes": list(state["writes"])})
+                full = old["archived"] or r["records"] >= self.max_records
+                times = {k: v for k, v in r.items() if v is not None}
+                state["segments"].append(old | times | {"read_only": full, "days": sorted(r["days"])})
+            self._commit(lease, state)
+            return sum(r["records"] for r in found)
         finally:
-            unlock()
+            lease.release()
 
 
 def appendable(segments: DataFrame) -> DataFrame:

@@ -594,7 +594,7 @@ def encoding_of_value(spark, sf_dir):
     )
 
 
-@query(f"""SELECT id_int, array_agg(timestamp ORDER BY seq)[1:1024]::VARCHAR AS vals, count(*) AS size, 'LONG' AS encoding FROM {EVENTS} GROUP BY id_int""")
+@query(f"""SELECT id_int, array_agg(timestamp ORDER BY seq)::VARCHAR AS vals, count(*) AS size, 'LONG' AS encoding FROM {EVENTS} GROUP BY id_int""")
 def collect_array(spark, sf_dir):
     e = adapters.events(spark, sf_dir)
     got = arrays.collected(e, "id_int", "seq", "timestamp", arrays.encoding_of_long(F.col("timestamp")))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import fs_of
+
 #: Rows up to which ``broadcast_if_small`` sends a side to every executor.
 BROADCAST_ROWS = 200_000
 
@@ -34,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     that is unset, which is right for a single machine alone."""
     at = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.spoolwright.sharedDir", "")
     if not at:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spoolwright-")
         spark.conf.set("spark.spoolwright.sharedDir", at)
@@ -46,10 +50,28 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/spoolwright/{what}-{uuid.uuid4().hex}"
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is materialised within the block is removed at its end; nothing that reads it may be left by then."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        for path in _scratch.get() or []:
+            fs, p = fs_of(spark, path)
+            fs.delete(p, True)
+        _scratch.reset(token)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it. Survives the loss of executors."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
+    if (kept := _scratch.get()) is not None:
+        kept.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

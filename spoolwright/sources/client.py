@@ -92,6 +92,13 @@ class LogWriterClient:
 SAVED_SCHEMA = "table_name string, id_kind tinyint, id_int int, id_str string, timestamp bigint, data binary"
 
 
+def local_path(path: str) -> str:
+    """A path as the operating system knows it; other file systems' are refused."""
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"spool files are written to mounted folders, not to {path}")
+    return path.removeprefix("file://")
+
+
 class SavedDataSource(DataSource):
     """``spark.read/write.format("saved")`` for spool files in a folder that all executors see at the same path. Reading
     through other file systems is ``files.read_saved``."""
@@ -114,7 +121,7 @@ class SavedDataSource(DataSource):
 
 class SavedReader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = local_path(path)
 
     def partitions(self) -> list[InputPartition]:
         found = sorted(str(p) for p in Path(self.path).rglob("*") if p.name.endswith((".saved", ".saved.gz")))
@@ -128,7 +135,7 @@ class SavedWriter(DataSourceWriter):
     """Tasks write hidden files; the commit publishes those of successful tasks, an abort removes them."""
 
     def __init__(self, path: str, names: list[str]):
-        self.path, self.names = path.removeprefix("file://"), names
+        self.path, self.names = local_path(path), names
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         folder = Path(self.path)

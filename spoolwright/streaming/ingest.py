@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 
 from pyspark.sql import DataFrame
@@ -24,6 +25,10 @@ def update(store: LogStore, path: str, checkpoint: str | None = None, delete: bo
     A batch that is read again adds nothing, since the store knows its records; so a crash between storing and deleting
     is harmless, and a bad file fails its batch, which then stores and deletes nothing. The state that finds duplicates
     is the store, which forgets nothing: old timestamps are always accepted.
+
+    Which files were read is kept in ``checkpoint``. Unset, it is a folder of the store's own for this path where files
+    stay, so that the next run reads only new ones, and one for this run alone where they are removed, as then those
+    that are there are those to read, even under a name that was used before.
     """
     spark = store.spark
     counts = {"seen": 0, "added": 0, "duplicates": 0}
@@ -40,13 +45,20 @@ def update(store: LogStore, path: str, checkpoint: str | None = None, delete: bo
                 fs.delete(p, False)
 
     store.create()
+    lasting = f"{store.path}/ingest/{hashlib.sha256(path.encode()).hexdigest()[:16]}"
+    at = checkpoint or (fresh_path(spark, "ingest") if delete else lasting)
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     stream = (
         spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", SAVED_GLOB)
         .option("recursiveFileLookup", "true").option("maxBytesPerTrigger", batch_bytes).load(path)
     )
-    q = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint or fresh_path(spark, "ingest"))
-    q.trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
+    q = stream.writeStream.foreachBatch(one).option("checkpointLocation", at)
+    try:
+        q.trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
+    finally:
+        if not checkpoint and delete:
+            fs, p = _fs(spark, at)
+            fs.delete(p, True)
     return counts
 
 

@@ -14,6 +14,7 @@ from spoolwright.operators.store import LogStore, StoreError, as_json, get_acros
 from spoolwright.schema import parse_id_literal
 from spoolwright.sources import files
 from spoolwright.sources.client import LogWriterClient, SavedDataSource
+from spoolwright.storage import Lease, Manifest
 from spoolwright.streaming.ingest import convert, update
 
 INFO = "Some user-related very important information "
@@ -95,22 +96,105 @@ def test_lookup_is_pruned(spark, tmp_path):
     assert "EqualTo(table_name,user)" in plan and "EqualTo(id_key,i:1)" in plan
 
 
-def test_crash_between_records_and_statistics(spark, tmp_path):
+def test_damaged_statistics_are_made_anew(spark, tmp_path):
     s = LogStore(spark, f"file://{tmp_path}/db", max_records=2)
     s.add_records(frame(spark, FIVE[:3]), ["pos"])
-    s._write_segments([r.asDict() for r in s.segments().where("segment = 1").collect()])  # as if the writer died
-    s._mark(True)
+    state = s._manifest.read()
+    state["segments"][1] |= {"records": 7, "days": []}
+    s._manifest.write(state)
     assert [r.ok for r in s.fsck().orderBy("segment").collect()] == [True, False]
+    assert s.rebuild() == 3
     assert s.add_records(frame(spark, FIVE), ["pos"]) == {"seen": 5, "added": 2, "duplicates": 3}
     assert all(r.ok for r in s.fsck().collect()) and s.records().count() == 5
 
 
+class Died(Exception):
+    pass
+
+
+@pytest.mark.parametrize("what", ["add", "archive"])
+@pytest.mark.parametrize("at", ["written", "checked", "named"])
+def test_writer_dies(spark, tmp_path, monkeypatch, what, at):
+    """A writer that ends behind each step leaves the store as it was, or as it was to be; what comes next goes on."""
+    s = LogStore(spark, f"file://{tmp_path}/db", max_records=2)
+    s.add_records(frame(spark, FIVE[:3]), ["pos"])
+    with monkeypatch.context() as m:
+        if at == "named":  # the manifest is there, what follows isn't
+            write = Manifest.write
+            m.setattr(Manifest, "write", lambda self, state: (write(self, state), (_ for _ in ()).throw(Died()))[1])
+        elif at == "checked":
+            m.setattr(Manifest, "write", lambda self, state: (_ for _ in ()).throw(Died()))
+        else:
+            m.setattr(LogStore, "_commit", lambda self, lease, state: (_ for _ in ()).throw(Died()))
+        m.setattr(Lease, "release", lambda self: self._done.set())  # nor is the lock given back
+        with pytest.raises(Died):
+            s.add_records(frame(spark, FIVE), ["pos"]) if what == "add" else s.archive()
+    assert (tmp_path / "db" / "db.lock").exists()
+    s = LogStore(spark, f"file://{tmp_path}/db", max_records=2, lock_wait=0.1)
+    assert s.records().count() == (5 if what == "add" and at == "named" else 3) and all(r.ok for r in s.fsck().collect())
+    with pytest.raises(StoreError, match="in use"):
+        s.add_records(frame(spark, FIVE), ["pos"])
+    s.lease, s.lock_wait = 0.0, 5.0  # its lease has run out
+    assert s.add_records(frame(spark, FIVE), ["pos"])["added"] == (0 if what == "add" and at == "named" else 2)
+    s.lease = 60.0
+    assert sorted(data(s.records())) == sorted(d for *_, d in FIVE) and all(r.ok for r in s.fsck().collect())
+    s.archive()
+    s.archive()
+    assert s.add_records(frame(spark, FIVE), ["pos"])["added"] == 0 and s.records().count() == 5
+    # what broke off or was replaced is gone
+    folders = [p for p in (tmp_path / "db" / "records").iterdir() if p.name.startswith("write=")]
+    assert {p.name.removeprefix("write=") for p in folders} <= set(s._manifest.read()["writes"])
+
+
+def test_lost_manifest(spark, tmp_path):
+    s = LogStore(spark, f"file://{tmp_path}/db", max_records=2)
+    s.add_records(frame(spark, FIVE[:3]), ["pos"])
+    s.archive()  # the segments as they were are still there
+    s.add_records(frame(spark, FIVE), ["pos"])
+    for p in (tmp_path / "db" / "manifest").iterdir():
+        p.unlink()
+    with pytest.raises(StoreError, match="rebuild"):
+        s.add_records(frame(spark, FIVE), ["pos"])
+    assert s.rebuild() == 5 and s.records().count() == 5 and all(r.ok for r in s.fsck().collect())
+    assert s.add_records(frame(spark, FIVE), ["pos"])["added"] == 0
+
+
+def test_a_late_record_reads_its_day_alone(spark, tmp_path):
+    s = LogStore(spark, f"file://{tmp_path}/db", max_records=10)
+    day = 86_400_000
+    for d in range(6):  # a segment a day
+        s.add_records(frame(spark, [(d * day + i, "t", 1, f"{d}-{i}") for i in range(10)]), ["pos"])
+    late = [(5 * day + 99, "t", 1, "new"), (3, "t", 1, "0-3"), (None, "t", 1, "no time")]
+    assert s.add_records(frame(spark, late), ["pos"])["added"] == 2
+    stored = s._stored(s._state(), [0, 5])
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert stored.count() == 21 and "Or(And(GreaterThanOrEqual(timestamp,0)" in plan and "segment" in plan.split("PartitionFilters")[1]
+    assert s.add_records(frame(spark, late), ["pos"])["added"] == 0
+
+
+def test_temporary_tables_are_removed(spark, tmp_path):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "spoolwright"
+    before = set(shared.iterdir()) if shared.exists() else set()
+    LogStore(spark, f"file://{tmp_path}/db").add_records(frame(spark, FIVE), ["pos"])
+    assert set(shared.iterdir()) == before
+
+
+def test_files_that_stay_are_read_once(spark, tmp_path):
+    spool = tmp_path / "spool"
+    s = LogStore(spark, f"file://{tmp_path}/db")
+    for k in (1, 2):
+        with LogWriterClient(spool) as w:
+            w.append("t", k, k, "x")
+        assert update(s, f"file://{spool}", delete=False) == {"seen": 1, "added": 1, "duplicates": 0}
+    assert update(s, f"file://{spool}", delete=False)["seen"] == 0
+
+
 def test_missing_store_and_lock(spark, tmp_path):
     s = LogStore(spark, f"file://{tmp_path}/none")
     with pytest.raises(StoreError):
         s.get("a", 1)
     assert s.info().collect() == [] and (tmp_path / "none").exists()
-    (tmp_path / "none" / "db.lock").touch()
+    (tmp_path / "none" / "db.lock").touch()  # young, so its holder may be alive
     s.lock_wait = 0.1
     with pytest.raises(StoreError, match="in use"):
         s.add_records(frame(spark, FIVE), ["pos"])
@@ -167,6 +251,8 @@ def test_data_source(spark, tmp_path):
     df.write.format("saved").mode("append").save(at)
     assert [p.suffix for p in Path(at).iterdir()] == [".saved"] * 2
     assert sorted(spark.read.format("saved").load(at).collect()) == sorted(df.collect())
+    with pytest.raises(Exception, match="mounted folders"):
+        df.write.format("saved").mode("append").save("hdfs://host/out")
 
 
 def test_legacy(spark, tmp_path):
