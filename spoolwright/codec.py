@@ -155,8 +155,11 @@ def segment_file(records: list[Record]) -> bytes:
     """A segment file: a head of 64 bytes with version, size, least and greatest time and count, then the records."""
     body = b"".join(segment_record(*r) for r in records)
     times = [r[4] for r in records]
-    head = struct.pack(">iqqqi", RECORD_VERSION, RECORD_HEAD + len(body), min(times, default=2**63 - 1), max([0, *times]), len(records))
-    return head.ljust(RECORD_HEAD, b"\0") + body
+    return segment_head_bytes(RECORD_HEAD + len(body), min(times, default=2**63 - 1), max([0, *times]), len(records)) + body
+
+
+def segment_head_bytes(total: int, lo: int, hi: int, n: int) -> bytes:
+    return struct.pack(">iqqqi", RECORD_VERSION, total, lo, hi, n).ljust(RECORD_HEAD, b"\0")
 
 
 def segment_head(content: bytes) -> dict:
@@ -166,10 +169,12 @@ def segment_head(content: bytes) -> dict:
     return {"version": v, "total_bytes": total, "min_ts": lo, "max_ts": hi, "records": n}
 
 
-def read_segment(content: bytes, path: str = "") -> Iterator[tuple[int, Record]]:
-    """Offset and record of each record of a segment file, whatever its head says of their number. A last record that
-    is cut off is dropped, as a crash leaves it."""
-    f = io.BytesIO(unzip(content, path))
+def read_segment(content: bytes | io.BufferedIOBase, path: str = "") -> Iterator[tuple[int, Record]]:
+    """Offset and record of each record of a segment file, whatever its head says of their number, as bytes or as an
+    open file, which is read as it goes. A last record that is cut off is dropped, as a crash leaves it."""
+    f = io.BytesIO(content) if isinstance(content, bytes) else content
+    if path.endswith(".gz"):
+        f = gzip.GzipFile(fileobj=f)
     segment_head(read_exact(f, RECORD_HEAD))
     while True:
         at = f.tell()

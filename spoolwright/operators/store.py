@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import digest
 from ..schema import IDENTITY, LOG_SCHEMA, RECORD_SCHEMA, parse_id_literal, with_id_key
-from ..session import broadcast_if_small, materialise, scratch
+from ..session import BROADCAST_ROWS, broadcast_if_small, materialise, scratch
 from ..storage import Lease, Manifest
 from ..storage import fs_of as _fs
 from . import segments as seg
@@ -182,7 +182,7 @@ class LogStore:
             return {"seen": 0, "added": 0, "duplicates": 0}
         known = {r["segment"]: r for r in state["segments"]}
         first = first_deliveries(batch, ["digest"], F.col(order[0]), [F.col(c) for c in order[1:]], [*cols, *order])
-        first = self._unknown(materialise(first, "first"), state, sorted(per_day))
+        first = self._unknown(materialise(first, "first"), state, sorted(per_day), seen <= BROADCAST_ROWS)
         last = known[max(known)] if known else None
         at, n, b = (1, 0, seg.HEAD_BYTES) if last is None else (last["segment"], last["records"], last["total_bytes"] + seg.HEAD_BYTES)
         if last and (last["read_only"] or last["archived"] or n >= self.max_records):
@@ -221,11 +221,14 @@ class LogStore:
         meet = [r["segment"] for r in state["segments"] if not asked.isdisjoint(r["days"])]
         return self._read(state).where(F.col("segment").isin(meet) & _of_days(days)).select("digest")
 
-    def _unknown(self, first: DataFrame, state: dict, days: list[int]) -> DataFrame:
+    def _unknown(self, first: DataFrame, state: dict, days: list[int], small: bool) -> DataFrame:
         """Records that the store lacks. What it has is narrowed down to the batch's before anything else; a small batch's
         digests go to where the store lies."""
-        stored = self._stored(state, days)
-        again = materialise(stored.join(broadcast_if_small(first.select("digest")), "digest", "left_semi"), "again")
+        asked = set(days)
+        if all(asked.isdisjoint(r["days"]) for r in state["segments"]):
+            return first
+        mine = first.select("digest")
+        again = self._stored(state, days).join(F.broadcast(mine) if small else mine, "digest", "left_semi")
         return first.join(again, "digest", "left_anti")
 
     # -- reading

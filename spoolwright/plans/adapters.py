@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import codec
 from ..functions.dates import to_millis
+from ..operators import segments as seg
 from ..operators.compaction import SPOOL_SCHEMA
 from ..schema import id_key
-from ..session import table
+from ..session import broadcast_if_small, table
 
 
 def _log(df: DataFrame, name, id_int, id_str, ts, data, seq) -> DataFrame:
@@ -25,9 +27,12 @@ def _log(df: DataFrame, name, id_int, id_str, ts, data, seq) -> DataFrame:
     return out.withColumn("id_key", id_key())
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_type as table, user_id as identifier, props as data."""
+def events(spark: SparkSession, sf_dir: str, name: str | None = None, ident: int | None = None) -> DataFrame:
+    """event_type as table, user_id as identifier, props as data; with ``name`` and ``ident`` those of one key, which the
+    scan is told in the columns' own types."""
     e = table(spark, sf_dir, "events")
+    if name is not None:
+        e = e.where((F.col("event_type") == name) & (F.col("user_id") == ident))
     return _log(e, F.col("event_type"), F.col("user_id"), None, to_millis(F.col("ts")), F.col("props"), F.col("event_id"))
 
 
@@ -78,3 +83,38 @@ def scattered(source_records: DataFrame, at: str) -> str:
 
     rows.repartition("file_no").sortWithinPartitions("file_no", "pos").mapInArrow(run, "n bigint").count()
     return at
+
+
+def segment_files(log: DataFrame, at: str) -> str:
+    """Writes records (with ``segment`` and ``seq``, their order) as segment files ``NNN.record`` below ``at``, a task going
+    through a segment's records as they come. Gives ``at``."""
+    heads = seg.stats(log)
+    rows = log.select("segment", "seq", "table_name", "id_kind", "id_int", "id_str", "timestamp", "data").join(
+        broadcast_if_small(heads.select("segment", "records", "min_timestamp", "max_timestamp", "total_bytes")), "segment"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pfs
+
+        fs, root = pfs.FileSystem.from_uri(at)
+        fs.create_dir(root, recursive=True)
+        number, out, part = None, None, ""
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                fs.move(part, f"{root}/{number:03d}.record")
+
+        for b in batches:
+            for n, _, table, kind, i, text, ts, data, k, lo, hi, size in zip(*(c.to_pylist() for c in b.columns)):
+                if n != number:
+                    close()
+                    number, part = n, f"{root}/_{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(part)
+                    out.write(codec.segment_head_bytes(size + codec.RECORD_HEAD, lo, max(0, hi), k))
+                out.write(codec.segment_record(table, kind, i, text, ts, data))
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["n"])
+
+    rows.repartition("segment").sortWithinPartitions("segment", "seq").mapInArrow(run, "n bigint").count()
+    return at

@@ -62,8 +62,7 @@ SHOWN_SQL = "table_name, id_key, timestamp, data"
 
 @query(f"SELECT {SHOWN_SQL} FROM {EVENTS} WHERE table_name = 'purchase' AND id_key = 'i:12'")
 def get_point(spark, sf_dir):
-    e = adapters.events(spark, sf_dir)
-    return e.where((F.col("table_name") == "purchase") & (F.col("id_key") == "i:12")).orderBy("timestamp", "seq").selectExpr(*SHOWN)
+    return adapters.events(spark, sf_dir, "purchase", 12).orderBy("timestamp", "seq").selectExpr(*SHOWN)
 
 
 @query(f"SELECT {SHOWN_SQL} FROM {EVENTS} WHERE (table_name, id_key) IN (SELECT (table_name, id_key) FROM {EVENTS} WHERE seq % 100 = 0)")
@@ -139,6 +138,66 @@ def rebuilt_offsets(spark, sf_dir):
     return seg.with_offsets(rows).select("record_seq", F.col("byte_offset").alias("at"))
 
 
+# ---- through a store
+
+_stores: dict[tuple[str, str], LogStore] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> LogStore:
+    """A store of all events, made once for the queries that only read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        s = LogStore(spark, fresh_path(spark, "db"), max_records=N)
+        s.add_records(adapters.events(spark, sf_dir), ["seq"])
+        _stores[key] = s
+    return _stores[key]
+
+
+@query(f"SELECT {SHOWN_SQL} FROM {EVENTS} WHERE table_name = 'purchase' AND id_key = 'i:12'")
+def store_get(spark, sf_dir):
+    """``get_point`` through a store's sorted segments."""
+    return stored(spark, sf_dir).get("purchase", 12).selectExpr(*SHOWN)
+
+
+@query(f"SELECT {SHOWN_SQL} FROM {EVENTS} WHERE (table_name, id_key) IN (SELECT (table_name, id_key) FROM {EVENTS} WHERE seq % 100 = 0)")
+def store_get_many(spark, sf_dir):
+    e = adapters.events(spark, sf_dir)
+    return stored(spark, sf_dir).get_many(e.where(F.col("seq") % 100 == 0).select("table_name", "id_key")).selectExpr(*SHOWN)
+
+
+@query(f"""SELECT segment, records, records AS real_records, true AS ok FROM (SELECT segment, count(*) AS records FROM {EVENTS} GROUP BY segment)""")
+def store_fsck(spark, sf_dir):
+    return stored(spark, sf_dir).fsck()
+
+
+@query(f"SELECT {SHOWN_SQL}, true AS whole FROM {EVENTS}")
+def store_recovery(spark, sf_dir):
+    """A store whose last writer broke off, its records written and its manifest not, takes in all events again."""
+    s = LogStore(spark, fresh_path(spark, "db"), max_records=50_000)
+    e = materialise(adapters.events(spark, sf_dir), "events")
+    s.add_records(e.where(F.col("seq") % 3 != 0), ["seq"])
+    left = s.records().limit(100).withColumn("seq", F.col("seq") + 10**9)
+    left.write.partitionBy("segment").parquet(f"{s.path}/records/write=wbrokenoff")
+    s.add_records(e, ["seq"])
+    bad = s.fsck().where("NOT ok").count()
+    return s.records().selectExpr(*SHOWN, f"{bad} = 0 AS whole")
+
+
+_RECORD_BYTES = """8 + (1 + strlen(table_name)) + CASE id_kind WHEN 1 THEN 5 WHEN 2 THEN 2 + strlen(id_str) ELSE 1 END
++ CASE WHEN octet_length(data) < 128 THEN 1 ELSE 2 END + octet_length(data)"""
+
+
+@query(f"""SELECT segment, 64 + coalesce(sum({_RECORD_BYTES}) OVER (PARTITION BY segment ORDER BY byte_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at,
+ts AS timestamp, table_name, md5(data) AS data_md5 FROM records""")
+def segment_scan(spark, sf_dir):
+    """Segment files written with all records, then scanned in full, without an index."""
+    r = adapters.records(spark, sf_dir).drop("seq").withColumnRenamed("byte_offset", "seq")
+    at = adapters.segment_files(r, fresh_path(spark, "segment-files"))
+    found = files.read_segments(spark, at)
+    number = F.regexp_extract("path", r"([0-9]+)\.record$", 1).cast("int")
+    return found.select(number.alias("segment"), F.col("pos").alias("at"), "timestamp", "table_name", F.md5("data").alias("data_md5"))
+
+
 # ---- deduplication
 
 

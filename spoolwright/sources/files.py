@@ -8,6 +8,7 @@ of arrival: paths in order, then position.
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -34,7 +35,7 @@ def binary_files(spark: SparkSession, paths: str | Sequence[str], glob: str, rec
     return (r.option("recursiveFileLookup", "true") if recursive else r).load(paths)
 
 
-def _decode(files: DataFrame, rows_of: Callable[[str, bytes], Iterator[tuple]]) -> DataFrame:
+def _decode(files: DataFrame, rows_of: Callable[[str, bytes], Iterator[tuple]], content: str = "content") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
@@ -50,7 +51,7 @@ def _decode(files: DataFrame, rows_of: Callable[[str, bytes], Iterator[tuple]])
         if rows:
             yield out(rows)
 
-    return files.select("path", "content").mapInArrow(run, _ROWS)
+    return files.select("path", content).mapInArrow(run, _ROWS)
 
 
 def decode_saved(files: DataFrame, strict: bool = True) -> DataFrame:
@@ -125,10 +126,15 @@ def year_folders(spark: SparkSession, path: str) -> list[str]:
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """All records of segment files (``NNN.record[.gz]``), with ``pos`` their byte offset: a full scan that needs no
-    index and drops a last record that is cut off."""
+    index and drops a last record that is cut off. The engine lists the files; a task opens them and reads on as it
+    goes, so that files may have any size."""
 
-    def rows(path: str, content: bytes) -> Iterator[tuple]:
-        for at, (table, kind, number, text, ts, data) in codec.read_segment(content, path):
-            yield path, at, table, kind, number, text, ts, data, None
+    def rows(path: str, _: int) -> Iterator[tuple]:
+        import pyarrow.fs as pfs
+
+        fs, at = pfs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+        with fs.open_input_file(at) as f:
+            for at, (table, kind, number, text, ts, data) in codec.read_segment(io.BufferedReader(f, 1 << 20), path):
+                yield path, at, table, kind, number, text, ts, data, None
 
-    return with_id_key(_decode(binary_files(spark, path, RECORD_GLOB, recursive=False), rows).drop("error"))
+    return with_id_key(_decode(binary_files(spark, path, RECORD_GLOB, recursive=False), rows, "length").drop("error"))
