@@ -31,6 +31,7 @@ import uuid
 from array import array
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -394,11 +395,10 @@ def _against_history(index: AcceptedIndex, classes: DataFrame) -> DataFrame:
             wanted = here.select("bucket", F.explode("parts").alias("p"))
             shared = shared.join(wanted.hint("shuffle_hash"), ["bucket", "p"], "left_semi")
             older = shared.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(_oldest_match, "seq bigint, best bigint")
-            found.append(materialise(copies.unionByName(older), "matched"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return materialise(out.groupBy("seq").agg(F.min("best").alias("best")), "matched")
+            found.append(materialise(copies.unionByName(older).groupBy("seq").agg(F.min("best").alias("best")), "matched"))
+    if len(found) == 1:
+        return found[0]
+    return materialise(reduce(DataFrame.unionByName, found).groupBy("seq").agg(F.min("best").alias("best")), "matched")
 
 
 def _within_batch(fresh: DataFrame, block_rows: int, bucket_rows: int) -> DataFrame:
@@ -414,14 +414,18 @@ def _within_batch(fresh: DataFrame, block_rows: int, bucket_rows: int) -> DataFr
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_rows))
     large = sizes.where(F.col("n") > block_rows).select("k", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
     large = materialise(large, "large-keys")
-    # where a large key's blocks begin: quantiles of its seqs, as many as the largest key has blocks
-    most = large.agg(F.max("blocks")).first()[0] or 1
-    of_large = fresh.select("k", "seq").join(broadcast_if_small(large), "k")
-    fine = of_large.groupBy("k", "blocks").agg(F.percentile_approx("seq", [i / most for i in range(1, most)] or [0.5], 100 * most).alias("starts"))
-    own = broadcast_if_small(materialise(fine.select("k", F.lit(True).alias("large"), "starts"), "block-starts"))
-    marked = fresh.join(own, "k", "left")
+    if large.isEmpty():
+        marked = fresh.withColumns({"large": F.lit(False), "starts": F.array().cast("array<bigint>")})
+    else:
+        # where a large key's blocks begin: quantiles of its seqs, as many as the largest key has blocks
+        most = large.agg(F.max("blocks")).first()[0]
+        of_large = fresh.select("k", "seq").join(broadcast_if_small(large), "k")
+        starts = F.percentile_approx("seq", [i / most for i in range(1, most)], 100 * most).alias("starts")
+        own = materialise(of_large.groupBy("k").agg(starts).withColumn("large", F.lit(True)), "block-starts")
+        marked = fresh.join(broadcast_if_small(own), "k", "left")
     block = F.coalesce(F.size(F.filter("starts", lambda x: x <= F.col("seq"))), F.lit(0))
-    marked = materialise(marked.select("k", "seq", "parts", block.alias("block"), F.pmod(F.xxhash64("k"), F.lit(groups)).cast("int").alias("g"), F.coalesce("large", F.lit(False)).alias("large")), "blocks")
+    marked = marked.select("k", "seq", "parts", block.alias("block"), F.pmod(F.xxhash64("k"), F.lit(groups)).cast("int").alias("g"), F.coalesce("large", F.lit(False)).alias("large"))
+    marked = materialise(marked, "blocks")
     # a large key is a group of its own; others share groups
     group = [F.when(F.col("large"), F.col("k")).alias("own"), "g"]
     rounds = (marked.agg(F.max("block")).first()[0] or 0) + 1
@@ -455,7 +459,7 @@ def check_batch(index: AcceptedIndex, batch: DataFrame, block_rows: int = BLOCK_
     classes = materialise(rows.groupBy("h", "k", "parts").agg(F.min("seq").alias("seq")), "classes")
     matched = _against_history(index, classes)
     fresh = materialise(classes.join(matched, "seq", "left_anti").select("k", "seq", "h", "parts"), "fresh")
-    settled = materialise(_within_batch(fresh, block_rows, bucket_rows), "within")
+    settled = _within_batch(fresh, block_rows, bucket_rows)
     accepted = materialise(fresh.join(settled.where("best IS NULL").select("seq"), "seq", "left_semi"), "accepted")
     best = matched.unionByName(settled.where("best IS NOT NULL"))
 

@@ -23,16 +23,25 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+#: Deliveries in which ``p5_batches`` takes the new records, each of some consecutive batches.
+DELIVERIES = 6
+
+
 def p5_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The new records batch after batch, each against the index to which the ones before were appended."""
+    """The new records delivery after delivery, each against the index to which the ones before were appended, and which
+    is opened anew each time."""
     index = AcceptedIndex.build(table(spark, sf_dir, "records"))
     new = table(spark, sf_dir, "new_records")
-    numbers = [r[0] for r in new.select("batch_no").distinct().orderBy(F.col("batch_no").asc_nulls_last()).collect()]
-    found = [check_batch(index, new.where(F.col("batch_no").eqNullSafe(F.lit(n)))) for n in numbers]
+    numbers = sorted(r[0] for r in new.select("batch_no").distinct().collect() if r[0] is not None)
+    last = numbers[-1] if numbers else None
+    size, found = -(-len(numbers) // DELIVERIES) or 1, []
+    for at in range(0, len(numbers), size):
+        here = F.col("batch_no").isin(numbers[at : at + size])
+        if numbers[at : at + size][-1] == last:  # what has no batch comes with the last ones
+            here = here | F.col("batch_no").isNull()
+        found.append(check_batch(AcceptedIndex.open(spark, index.path), new.where(here)))
     index.drop()
-    if not found:
-        return spark.createDataFrame([], "accepted_seq bigint, new_seq bigint")
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found or [check_batch(index, new)])
 
 
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
