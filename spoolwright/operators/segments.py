@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ints import record_size
 from ..functions.strings import zero_pad
-from ..session import materialise
 from .numbering import numbered
 
 MAX_RECORDS = 2_000_000
@@ -59,6 +63,10 @@ def with_offsets(log: DataFrame) -> DataFrame:
     return log.withColumn("size", size).withColumn("byte_offset", F.coalesce(F.sum("size").over(before), F.lit(0)) + HEAD_BYTES)
 
 
+#: Sizes handed on in one row, few enough for a batch of 10,000 rows; what stands for a null among them.
+RUN, UNKNOWN = 256, -1
+
+
 def roll_segments(
     log: DataFrame,
     order: list[str],
@@ -72,8 +80,9 @@ def roll_segments(
     when the next record would pass ``max_bytes``. The first segment may be partly used.
 
     Where records alone fill segments, a segment follows from a record's number. Where bytes do, a cut depends on the
-    one before: there is a small query, over numbers and sizes alone, for each segment that is filled. A record of more
-    bytes than a segment takes has one of its own.
+    one before: one task goes through the sizes, four bytes a record, which others have sorted and packed; the cuts, a
+    number for each segment, go to the rows. A record of more bytes than a segment takes has one of its own; behind a record
+    of unknown size its segment is left by number alone.
     """
     size = record_size(F.col("table_name"), F.col("id_kind"), F.col("id_str"), F.col("data"))
     rows = numbered(log.withColumn("size", size), order, "n")
@@ -83,18 +92,55 @@ def roll_segments(
         if used_records >= max_records:  # the first one is full
             n, first_segment = F.col("n"), first_segment + 1
         return rows.withColumn("segment", (F.floor(n / max_records) + first_segment).cast("int"))
-    light = materialise(numbered(rows.select(F.col("n").alias("k"), "size"), ["k"], "n", {"end": "size"}).select("n", "size", "end"), "sizes")
-    cuts = [(0, first_segment)]  # number of the first record, segment
-    n0, base, room_n, room_b = 0, 0, max_records - used_records, max_bytes - used_bytes
-    while total - n0 > room_n or all_bytes - base > room_b:
-        over = light.where((F.col("n") >= n0 + room_n) | ((F.col("n") >= n0) & (F.col("end") - base > room_b)))
-        n, b, e = over.agg(F.min(F.struct("n", (F.col("end") - F.col("size")).alias("b"), "end"))).first()[0]
-        if n == n0 and room_n == max_records and room_b == max_bytes - HEAD_BYTES:  # larger than a segment
-            n, b = n0 + 1, e
-            if n >= total:
-                break
-        n0, base, room_n, room_b = n, b, max_records, max_bytes - HEAD_BYTES
-        cuts.append((n0, cuts[-1][1] + 1))
-    starts = F.array(*[F.lit(a).cast("bigint") for a, _ in cuts])  # one for each segment
-    segment = F.lit(first_segment - 1) + F.size(F.filter(starts, lambda a: a <= F.col("n")))
-    return rows.withColumn("segment", segment.cast("int"))
+    runs = rows.select("n", F.col("size").cast("int")).mapInArrow(_runs, "n bigint, sizes binary").repartition(1).sortWithinPartitions("n")
+    starts = runs.mapInArrow(_cuts(max_records, max_bytes, used_records, used_bytes), "n bigint").toArrow().column(0).to_numpy()
+
+    def segment(n: pd.Series) -> pd.Series:
+        return pd.Series(first_segment + np.searchsorted(starts, n.to_numpy(), "right"))
+
+    return rows.withColumn("segment", F.pandas_udf(segment, "int")("n"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of records that follow each other as 32-bit numbers in one row, with the number of the first."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        n, sizes = b.column(0).to_numpy(), b.column(1).fill_null(UNKNOWN).to_numpy()
+        by_n = np.argsort(n, kind="stable")  # mostly they are in order
+        n, sizes = n[by_n], sizes[by_n].astype("<i4")
+        at = np.flatnonzero((np.diff(n, prepend=-2) != 1) | (n % RUN == 0))
+        yield pa.RecordBatch.from_arrays([pa.array(n[at]), pa.array([x.tobytes() for x in np.split(sizes, at[1:])], pa.binary())], ["n", "sizes"])
+
+
+def _cuts(max_records: int, max_bytes: int, used_records: int, used_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Goes through the runs in order and gives the number of each record that begins a segment, but for the first one's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, end = 0, 0  # number of the batch's first record, bytes before it
+        n0, base, room_n, room_b = 0, 0, max_records - used_records, max_bytes - used_bytes
+        fresh, unknown = used_records == 0 and used_bytes == HEAD_BYTES, False  # the segment was empty at n0; a size since n0 is unknown
+        for b in batches:
+            sizes = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i4")
+            if not len(sizes):
+                continue
+            ends = end + np.cumsum(np.maximum(sizes, 0), dtype=np.int64)
+            gaps = np.flatnonzero(sizes == UNKNOWN)
+            starts = []
+            while True:
+                least = max(n0 + fresh - first, 0)  # an empty segment takes any record
+                at = max(n0 + room_n - first, least)
+                by_bytes = max(int(np.searchsorted(ends, base + room_b, "right")), least)
+                gap = np.searchsorted(gaps, max(n0 - first, 0))
+                if not unknown and (gap == len(gaps) or by_bytes < gaps[gap]):
+                    at = min(at, by_bytes)
+                if at >= len(sizes):
+                    unknown = unknown or gap < len(gaps)
+                    break
+                n0, base = first + at, int(ends[at - 1]) if at else end
+                room_n, room_b, fresh, unknown = max_records, max_bytes - HEAD_BYTES, True, False
+                starts.append(n0)
+            first, end = first + len(sizes), int(ends[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64())], ["n"])
+
+    return run
